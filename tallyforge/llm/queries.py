@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import written
 from ..sources.tables import read_table
-from . import formatting, splits
+from . import formatting, packing, splits, tokenizing
 
 
 def _copies(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:
@@ -56,8 +57,33 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(rows, read_table(spark, folder, "split_targets"))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizing.texts_of(read_table(spark, folder, "documents"))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizing.encode(_texts(spark, folder))
+
+
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: number of ids, and whether decoding them gives the text back."""
+    texts = _texts(spark, folder)
+    encoded = written(tokenizing.encode(texts), "ids")
+    back = tokenizing.decode(encoded).withColumnRenamed("text", "restored")
+    joined = texts.join(encoded, "doc_id").join(back, "doc_id")
+    return joined.select("doc_id", F.size("ids").cast("bigint").alias("tokens"), (F.col("text") == F.col("restored")).alias("same"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(tokenizing.token_counts(_texts(spark, folder)))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits}
+    return {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,42 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import written
 from ..sources.tables import read_table
-from . import formatting, packing, splits, tokenizing
+from . import formatting, near_duplicates, packing, splits, tokenizing
+
+
+def _table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.table_rows(read_table(spark, folder, "sft_rows"), read_table(spark, folder, "evaluation_rows"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.pairs_in_groups(near_duplicates.groups(_table_rows(spark, folder)))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per row with a text: its group, named by the least id, and how many distinct texts it is linked with."""
+    grouped = near_duplicates.groups(_table_rows(spark, folder))
+    named = grouped.groupBy("group").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_rows"))
+    name = F.when(F.col("side") == 0, "sft_rows").otherwise("evaluation_rows")
+    return grouped.join(named, "group").select(name.alias("table_name"), "id", "group_id", "group_rows", "links")
+
+
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = near_duplicates.split_rows(read_table(spark, folder, "sft_rows"), read_table(spark, folder, "evaluation_rows"))
+    return near_duplicates.overlaps(rows)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder).select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
+
+
+def p5_containment(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder)
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per held-out split and source dataset: overlapping pairs, held-out rows and training rows in them."""
+    counts = [F.count(F.lit(1)).alias("pairs"), F.countDistinct("held_id").alias("held_rows"), F.countDistinct("train_id").alias("train_rows")]
+    return _overlaps(spark, folder).groupBy("held_split", "held_dataset").agg(*counts)
 
 
 def _copies(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:
@@ -83,7 +118,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_containment": p5_containment, "p5_report": p5_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill}
 
 
 def oracle_sql() -> dict[str, str]:

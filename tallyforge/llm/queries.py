@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import written
 from ..sources.tables import read_table
-from . import formatting, near_duplicates, packing, splits, tokenizing
+from . import formatting, near_duplicates, packing, splits, tokenizing, truncation
 
 
 def _table_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,8 +117,21 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, folder))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(read_table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source of the documents: its channel, documents with a text, truncated ones and their share."""
+    documents = read_table(spark, folder, "documents")
+    cut = truncation.truncated(documents).select("doc_id", F.lit(1).alias("cut"))
+    counted = documents.where("text is not null").join(cut, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("cut").alias("truncated"))
+    catalog = read_table(spark, folder, "source_catalog").select("source", "channel")
+    return counted.join(catalog, "source", "left").select("source", "channel", "documents", "truncated", (F.col("truncated") / F.col("documents")).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_containment": p5_containment, "p5_report": p5_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_containment": p5_containment, "p5_report": p5_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_source": p8_by_source}
 
 
 def oracle_sql() -> dict[str, str]:

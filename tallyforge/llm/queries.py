@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import written
 from ..sources.tables import read_table
-from . import formatting, near_duplicates, packing, splits, tokenizing, truncation
+from . import defects, formatting, near_duplicates, packing, splits, tokenizing, truncation
 
 
 def _table_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,6 +92,15 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(rows, read_table(spark, folder, "split_targets"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.defects(defects.values(read_table(spark, folder, "dpo_rows"), read_table(spark, folder, "sft_rows")))
+
+
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Values per field and defect."""
+    return p4_found(spark, folder).groupBy("field_name", "defect").agg(F.count(F.lit(1)).alias("values"))
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.texts_of(read_table(spark, folder, "documents"))
 
@@ -131,7 +140,7 @@ def p8_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_containment": p5_containment, "p5_report": p5_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_source": p8_by_source}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_containment": p5_containment, "p5_report": p5_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_source": p8_by_source}
 
 
 def oracle_sql() -> dict[str, str]:

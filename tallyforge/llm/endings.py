@@ -66,7 +66,7 @@ def unfinished(text: str) -> bool:
     text = re.sub(r"[\s\u200b\ufeff]+$", "", text)
     if not text:
         return False
-    marked = CUT_MARK.search(text)
+    marked = CUT_MARK.search(text, max(0, len(text) - 40)) if text[-1] in ".…⋯])" else None
     if marked:
         text = text[: marked.start()].rstrip()
         if not text or text.endswith((",", "，", "、", ", and", "+")):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from .tokenizing import texts_of
 RARE = 50
 
 
+@lru_cache(1 << 16)
 def _masked(token: str) -> str:
     """Numbers as #, names (capitals with five or more letters after them) as N."""
     return re.sub(r"^\W*[A-Z][^\W\d_]{5,}", "N", re.sub(r"\d+(?:[.,]\d+)*", "#", token))

@@ -44,8 +44,8 @@ BOXED = rf"\\(?:boxed|fbox)\{{(?=({_balanced(24)})\}})"
 
 def boxed(text: Column) -> Column:
     """Content of the last box whose braces balance (24 levels deep), as a stripped answer; null if none or empty."""
-    found = F.regexp_extract_all(text, F.lit(BOXED), F.lit(1))
-    return F.nullif(strip_answer(F.try_element_at(found, F.lit(-1))), F.lit(""))
+    found = F.try_element_at(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)), F.lit(-1))
+    return F.when(F.contains(text, F.lit("box{")) | F.contains(text, F.lit("boxed{")), F.nullif(strip_answer(found), F.lit("")))
 
 
 def _last(text: Column, pattern: str, group: int) -> Column:
@@ -124,18 +124,14 @@ def gold_answer(answer: Column, trajectory: Column) -> Column:
 
 # --- exact numbers -----------------------------------------------------------------------------------
 
-WIDE = "decimal(38,0)"
-
-
-def _gcd(a: Column, b: Column) -> Column:
-    """Euclid on whole decimals; 90 steps settle operands of 18 digits."""
-    start = F.struct(F.abs(a).cast(WIDE).alias("a"), F.abs(b).cast(WIDE).alias("b"))
+def _gcd(a: Column, b: Column, steps: Column) -> Column:
+    """Euclid on two whole numbers."""
+    start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
 
     def step(s: Column, _: Column) -> Column:
-        rest = (s["a"] % F.nullif(s["b"], F.lit(0).cast(WIDE))).cast(WIDE)
-        return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), rest.alias("b")))
+        return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0).cast("bigint"))).alias("b")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step)["a"]
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step)["a"]
 
 
 def _fraction(num: Column, den: Column) -> Column:
@@ -143,23 +139,26 @@ def _fraction(num: Column, den: Column) -> Column:
     terms stay as they are, without leading zeros."""
 
     def reduced(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        sign = F.when((a < 0) != (b < 0), -1).otherwise(1).cast(WIDE)
-        return let(
-            _gcd(a, b),
-            lambda g: let(
-                F.struct((F.abs(a).cast(WIDE) / g).cast(WIDE).alias("p"), (F.abs(b).cast(WIDE) / g).cast(WIDE).alias("q")),
-                lambda y: F.when(y["q"] == 1, (sign * y["p"]).cast(WIDE).cast("string")).otherwise(
-                    F.concat((sign * y["p"]).cast(WIDE).cast("string"), F.lit("/"), y["q"].cast("string"))
-                ),
-            ),
-        )
+        # no division of n digits takes Euclid more than five steps a digit
+        steps = 5 * F.least(F.length(x["p"]), F.length(x["q"])) + 1
+        whole = F.struct(x["p"].try_cast("bigint").alias("a"), x["q"].try_cast("bigint").alias("b"), steps.alias("n"))
+        # decimals divide without loss
+        by = lambda v, g: (F.abs(v).cast("decimal(20,0)") / g.cast("decimal(20,0)")).cast("bigint")
 
-    small = (F.length(num) <= 19) & (F.length(den) <= 19)
-    whole = lambda x: F.regexp_replace(F.regexp_replace(x, r"\A\+", ""), r"\A(-?)0+(?=\d)", "$1")
-    pair = F.struct(F.when(small, num).try_cast(WIDE).alias("a"), F.when(small, den).try_cast(WIDE).alias("b"))
-    zero = den.rlike(r"\A[-+]?0+\z")
-    return F.when(zero, F.lit(None)).when(small, let(pair, reduced)).otherwise(F.concat(whole(num), F.lit("/"), whole(den)))
+        def lowest(y: Column) -> Column:
+            a, b = y["a"], y["b"]
+            sign = F.when((a < 0) != (b < 0), -1).otherwise(1)
+            terms = let(_gcd(a, b, y["n"]), lambda g: F.struct((sign * by(a, g)).alias("p"), by(b, g).alias("q")))
+            return let(terms, lambda t: F.when(t["q"] == 1, t["p"].cast("string")).otherwise(F.concat(t["p"].cast("string"), F.lit("/"), t["q"].cast("string"))))
+
+        return let(whole, lowest)
+
+    def either(x: Column) -> Column:
+        bare = lambda v: F.regexp_replace(F.regexp_replace(v, r"\A\+", ""), r"\A(-?)0+(?=\d)", "$1")
+        small = (F.length(x["p"]) <= 18) & (F.length(x["q"]) <= 18)
+        return F.when(x["q"].rlike(r"\A[-+]?0+\z"), F.lit(None)).when(small, reduced(x)).otherwise(F.concat(bare(x["p"]), F.lit("/"), bare(x["q"])))
+
+    return let(F.struct(num.alias("p"), den.alias("q")), either)
 
 
 def _plain_decimal(text: Column) -> Column:
@@ -239,7 +238,7 @@ def _exact(body: Column, percent: Column) -> Column:
     def decimal(x: Column) -> Column:
         places = F.length(F.regexp_extract(x, r"\.(\d*)\z", 1)) + F.length(hundred)
         digits = F.replace(x, F.lit("."), F.lit(""))
-        return F.when((F.length(digits) <= 18) & (places <= 18), _fraction(digits, F.concat(F.lit("1"), F.repeat(F.lit("0"), places)))).otherwise(F.concat(x, F.when(percent, "%").otherwise("")))
+        return F.when(places == 0, x).when((F.length(digits) <= 17) & (places <= 16), _fraction(digits, F.concat(F.lit("1"), F.repeat(F.lit("0"), places)))).otherwise(F.concat(x, F.when(percent, "%").otherwise("")))
 
     return (
         F.when(body.rlike(latex), fraction(latex)).when(body.rlike(slash), fraction(slash)).when(body.rlike(rf"{UNICODE}\A{REAL}\z"), let(_plain_decimal(body), decimal))
@@ -257,8 +256,18 @@ def _shown_percent(value: Column) -> Column:
 
 
 def _embedded(value: Column) -> Column:
-    """The one number a text holds; null if it holds none or several."""
-    return let(F.regexp_extract_all(clean_math(value), F.lit(EMBEDDED), F.lit(0)), lambda m: F.when(F.size(m) == 1, rational(F.get(m, 0))))
+    """The text of the one number that a text holds; null if it holds none or several."""
+    return let(F.regexp_extract_all(clean_math(value), F.lit(EMBEDDED), F.lit(0)), lambda m: F.when(F.size(m) == 1, F.get(m, 0)))
+
+
+def _reading(value: Column) -> Column:
+    """struct(n, q, u, s): normal form, exact value, normal form without unit, number shown before a percent sign."""
+    return F.struct(
+        normalize_answer(value).alias("n"),
+        rational(value).alias("q"),
+        normalize_answer(F.nullif(strip_unit(value), F.lit(""))).alias("u"),
+        _shown_percent(value).alias("s"),
+    )
 
 
 def choice_options(prompt: Column) -> Column:
@@ -283,45 +292,33 @@ def compare_answers(predicted: Column, reference: Column, prompt: Column, strict
     `strict` tells that their normal forms are equal. Null predictions equal nothing; a null prompt offers
     no options and names no percent.
     """
-    parts = F.struct(
-        predicted.alias("p"),
-        reference.alias("r"),
-        rational(predicted).alias("pn"),
-        rational(reference).alias("rn"),
-        F.coalesce(prompt, F.lit("")).alias("prompt"),
+    asked = F.coalesce(prompt, F.lit(""))
+    letter = lambda v: F.nullif(F.upper(F.regexp_extract(strip(v), CHOICE, 1)), F.lit(""))
+    options = F.when(asked.rlike(r"[A-Ea-e][.):]"), choice_options(asked))
+    # all texts are read by one expression, so the plan holds it once
+    texts = let(
+        F.struct(predicted.alias("p"), reference.alias("r"), options.alias("o")),
+        lambda x: F.array(x["p"], x["r"], F.try_element_at(x["o"], letter(x["p"])), F.try_element_at(x["o"], letter(x["r"])), _embedded(x["p"])),
     )
 
     def verdict(x: Column) -> Column:
-        p, r, pn, rn = x["p"], x["r"], x["pn"], x["rn"]
-        percent = F.lower(x["prompt"]).rlike("percent|%") & ((_shown_percent(p) == rn) | (_shown_percent(r) == pn))
-        bare = lambda v: normalize_answer(F.nullif(strip_unit(v), F.lit("")))
-        method = (
-            F.when(p.isNull(), "no_prediction")
+        p, r, shown_p, shown_r, inside = (F.get(x, i) for i in range(5))
+        percent = F.lower(asked).rlike("percent|%") & ((p["s"] == r["q"]) | (r["s"] == p["q"]))
+        same = lambda a, b: F.coalesce(a["n"] == b["n"], F.lit(False)) | F.coalesce(a["q"] == b["q"], F.lit(False)) | F.coalesce(a["u"] == b["u"], F.lit(False))
+        return (
+            F.when(predicted.isNull(), "no_prediction")
             .when(strict, "strict_exact")
-            .when(pn == rn, "numeric_equivalent")
+            .when(p["q"] == r["q"], "numeric_equivalent")
             .when(percent, "percent_context_equivalent")
-            .when(_embedded(p) == rn, "embedded_numeric_equivalent")
-            .when(bare(p) == bare(r), "unit_stripped_exact")
-            .when(x["prompt"].rlike(r"[A-Ea-e][.):]"), let(choice_options(x["prompt"]), lambda o: _by_choice(o, p, r)))
+            .when(inside["q"] == r["q"], "embedded_numeric_equivalent")
+            .when(p["u"] == r["u"], "unit_stripped_exact")
+            .when(same(shown_p, r), "choice_letter_to_content")
+            .when(same(p, shown_r), "choice_content_to_letter")
             .otherwise("none")
         )
-        return let(method, lambda m: F.struct((~m.isin("no_prediction", "none")).alias("equal"), m.alias("method")))
-
-    return let(parts, verdict)
 
-
-def _by_choice(options: Column, p: Column, r: Column) -> Column:
-    letter = lambda v: F.nullif(F.upper(F.regexp_extract(strip(v), CHOICE, 1)), F.lit(""))
-    shown_p, shown_r = F.try_element_at(options, letter(p)), F.try_element_at(options, letter(r))
-    return F.when(_same(shown_p, r), "choice_letter_to_content").when(_same(p, shown_r), "choice_content_to_letter").otherwise("none")
-
-
-def _same(a: Column, b: Column) -> Column:
-    return (
-        (normalize_answer(a) == normalize_answer(b))
-        | F.coalesce(rational(a) == rational(b), F.lit(False))
-        | F.coalesce(normalize_answer(F.when(a.isNotNull(), strip_unit(a))) == normalize_answer(F.when(b.isNotNull(), strip_unit(b))), F.lit(False))
-    )
+    method = let(F.transform(texts, lambda t: F.when(t.isNotNull(), _reading(t))), verdict)
+    return let(method, lambda m: F.struct((~m.isin("no_prediction", "none")).alias("equal"), m.alias("method")))
 
 
 def match_text(messages: Column) -> Column:

@@ -22,3 +22,12 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, most_hot: int = 50
     few = F.broadcast(lookup.join(F.broadcast(hot), key, "left_semi"))
     is_hot = F.col(key).isin(names)
     return rows.where(is_hot).join(few, key).unionByName(rows.where(~is_hot).join(lookup, key))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over all cores where the source comes in fewer pieces, for work that costs more than a shuffle.
+
+    A source with as many pieces as cores is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import pairs as P
 from ..operators import prepare as R
 from ..operators import scoring as S
+from ..operators.skew import spread
 from ..sources.files import json_safe
 from ..sources.tables import read_table
 from .settings import Settings
@@ -66,7 +67,7 @@ def text_compare_key(spark, folder):
 @query
 def word_tokens(spark, folder):
     t = T.tokens(F.col("text"))
-    rows = read_table(spark, folder, "documents").select("doc_id", t.alias("t"))
+    rows = spread(read_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", t.alias("t"))
     return rows.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("distinct_tokens"), F.get("t", 0).alias("first_token")).where("t is not null")
 
 
@@ -84,7 +85,7 @@ def strip_answer(spark, folder):
 
 @query
 def abnormal_output(spark, folder):
-    rows = read_table(spark, folder, "documents").where("text is not null")
+    rows = spread(read_table(spark, folder, "documents").select("doc_id", "text").where("text is not null"))
     return rows.select("doc_id", T.abnormal(F.col("text")).alias("abnormal"))
 
 
@@ -362,7 +363,7 @@ def normalize_answer(spark, folder):
 
 def _numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers of lineitem written in six ways: integer, decimal, percent, slash, LaTeX, with a unit."""
-    rows = read_table(spark, folder, "lineitem")
+    rows = spread(read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
     written = (
         F.when(F.col("l_linenumber") % 6 == 0, F.concat(q, F.lit(".50")))
@@ -408,7 +409,7 @@ def finish_reason(spark, folder):
 
 def _generations(spark: SparkSession, folder: str) -> DataFrame:
     """Reference solutions of the evaluation rows stand in for generated texts, one of three stages each."""
-    rows = read_table(spark, folder, "evaluation_rows").where("reference_answer is not null")
+    rows = spread(read_table(spark, folder, "evaluation_rows").where("reference_answer is not null"))
     number = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
     stages = F.array(F.lit("base"), F.lit("sft"), F.lit("dpo"))
     return rows.select(

@@ -21,11 +21,15 @@ BARE = re.compile(rf"^(?:#+\s*)?\**\s*{VALUE}(?:\s*[-+*/=^×·<>]\s*{VALUE})*\s*
 EQUATION = re.compile(r"^[-+*/=^×·<>()\[\]{}\\$%.,\d\s]*(?:[a-zA-Z](?![a-zA-Z])[-+*/=^×·<>()\[\]{}\\$%.,\d\s]*)*$")
 SIGNED = re.compile(
     r"^(?:[—–/~]\s*\w+(?:\s\w+)?"
-    r"|(?:best wishes|kind regards|regards|yours|cheers|thanks|with thanks|with thanks to|worked by|written by|checked by|signed)\b[,:]?"
+    r"|(?:(?:best wishes|kind regards|regards|yours|cheers|thanks|with thanks)(?:,?$|,(?=\s+\w))"
+    r"|(?:with thanks to|worked by|written by|checked by|signed):?(?=\s+\w))"
     r"(?:\s+[\w.'-]+){0,3}(?:(?:,| and)\s+[\w.'-]+(?:\s+[\w.'-]+)?){0,3}"
     r"|end of \w+(?: \w+)?)$",
     re.I,
 )
+SERIES = re.compile(r"(?:\d[\w.]*\s*[,+，、]\s*){3}$")
+ANSWER_LABEL = re.compile(r"answer|result|total|choice|option|solution|level|grade|score|status|topic|tag|lang|note", re.I)
+NUMBERED = re.compile(r"^\s*\d+[.)]\s+(.*)$", re.M)
 SMILE = re.compile(r"[:;]-?[)D(P]$")
 BOXED = re.compile(r"\\boxed\{(?:[^{}]|\{[^{}]*\})*\}\s*(?:\$+|\\\)|\\\])?\s*$")
 
@@ -69,8 +73,8 @@ def unfinished(text: str) -> bool:
     marked = CUT_MARK.search(text, max(0, len(text) - 40)) if text[-1] in ".…⋯])" else None
     if marked:
         text = text[: marked.start()].rstrip()
-        if not text or text.endswith((",", "，", "、", ", and", "+")):
-            return not text.endswith((",", "，", "、", "+"))
+        if not text or SERIES.search(text):
+            return not text
     line = last_line(text)
     if _open_inside(text, line):
         return True
@@ -99,6 +103,8 @@ def unfinished(text: str) -> bool:
             return True
         if not line[0].isupper() and len(line.split()) <= 8:
             return False
+        if line[0].isupper() and any(len(x.split()) > 4 for x in NUMBERED.findall(text)[:-1]):
+            return True  # the other items are sentences
     if line[-1] in ":,;-=+*/(<^、，；：" and not SIGNED.match(line) and not re.fullmatch(r"\*\*.*\*\*", line):
         return True
     if re.fullmatch(r"[\[(].*[\])]", line) or re.fullmatch(r"\*\*.*\*\*|\$\$.*\$\$|\\\[.*\\\]", line):
@@ -107,4 +113,8 @@ def unfinished(text: str) -> bool:
         # a name cut short: the text has it in full before
         name = re.search(r"\w+$", line)
         return bool(name and re.search(rf"\b{name.group(0)}\w", text) and not re.search(rf"\b{name.group(0)}\b", text[: -len(line)]))
-    return not (RESULT.match(line) or BARE.match(line) or EQUATION.match(line) or re.fullmatch(r"Keywords?:.*\w", line))
+    if RESULT.match(line):
+        # 'Name: What' is the start of a turn, 'Level: hard' and 'Answer: B' are results
+        label, value = re.match(r"^(.*?)\s*(?:[:=|]|->|→)\s*\**(.*)$", line).groups()
+        return bool(re.match(r"[A-Z]", value)) and not ANSWER_LABEL.search(label)
+    return not (BARE.match(line) or EQUATION.match(line) or re.fullmatch(r"Keywords?:.*\w", line))

@@ -24,9 +24,10 @@ FIELDS = ("prompt", "answer", "dataset", "level", "steps")
 def canonical_text(text: Column) -> Column:
     """Words, numbers and signs of `text` in order, lower case, one space between; null stays null.
 
-    Upper-casing first lets letters whose capitals are written with two letters meet them.
+    Letters that differ from their kind in lower case only (sharp s, long s, final sigma) meet it.
     """
-    seen = F.regexp_replace(F.lower(F.upper(text)), r"\p{Cf}+", "")
+    lower = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ſς", "sσ")
+    seen = F.regexp_replace(lower, r"\p{Cf}+", "")
     return F.array_join(F.regexp_extract_all(seen, F.lit(TOKEN), F.lit(0)), " ")
 
 

@@ -81,23 +81,29 @@ def spread_groups(rows: DataFrame) -> DataFrame:
     return lookup_join(rows.select("id", "group"), spread, "group").select("id", "group_id")
 
 
+SINGLE = 20_000
+
+
 def balanced_bins(weights: Iterable[tuple[int, int]], bins: int) -> tuple[dict[int, list[int]], list[int]]:
     """Largest differencing over (weight, how many components have it): (extra, load).
 
-    Of a weight's components, every `bins` fill all bins alike and differ by nothing; the rest form one
-    state of `bins` slots. The two states of the greatest difference are combined again and again, the
-    fullest slots of one with the emptiest of the other. extra[weight] lists the bins that get one of the
-    rest each; load is each bin's sum. Distinct weights number at most the root of twice the rows.
+    Of a weight's components, every `bins` fill all bins alike and differ by nothing; each of the rest is a
+    state of `bins` slots, from the heaviest on, and beyond SINGLE states the rest of a weight is one state.
+    The two states of the greatest difference are combined again and again, the fullest slots of one with
+    the emptiest of the other. extra[weight] lists the bins that get one of the rest each; load is each
+    bin's sum. Distinct weights number at most the root of twice the rows.
     """
     base = 0
     heap: list[tuple[int, int, np.ndarray, list]] = []
     for k, (weight, n) in enumerate(sorted(weights, reverse=True)):
         base += weight * (n // bins)
         rest = n % bins
-        if rest:
+        alone = rest if len(heap) + rest <= SINGLE else min(rest, 1)
+        for i in range(alone):
+            size = 1 if alone == rest else rest
             load = np.zeros(bins, dtype=np.int64)
-            load[:rest] = weight
-            heap.append((-weight, k, load, [(weight,) if i < rest else () for i in range(bins)]))
+            load[:size] = weight
+            heap.append((-weight, k * bins + i, load, [(weight,) if j < size else () for j in range(bins)]))
     heapq.heapify(heap)
     serial = 1 << 60
     while len(heap) > 1:
@@ -130,17 +136,19 @@ def allot(load: list[int], targets: dict[str, float]) -> list[str]:
     lack = {s: total * p / share for s, p in targets.items()}
     out = [""] * len(load)
     for i in sorted(range(len(load)), key=lambda i: (-load[i], i)):
-        best = max(sorted(lack), key=lambda s: lack[s])
-        out[i] = best
-        lack[best] -= load[i]
+        if lack:
+            best = max(sorted(lack), key=lambda s: lack[s])
+            out[i] = best
+            lack[best] -= load[i]
     return out
 
 
 def assign_splits(rows: DataFrame, targets: DataFrame, bins: int = 100) -> DataFrame:
     """(id, group_id, bin, split): the new split of each row of `related`.
 
-    All rows of a group share a bin, all bins a split. A component heavier than a bin makes a bin of its
-    own. Empty input gives an empty result; targets with a null or non-positive proportion get nothing.
+    All rows of a group share a bin, all rows of a bin a split. A component heavier than a bin makes a bin of
+    its own. Empty input gives an empty result; targets with a null or non-positive proportion get nothing,
+    and without any target the split is empty text.
     """
     spark = rows.sparkSession
     weights = written(rows.groupBy("group").agg(F.count(F.lit(1)).alias("weight"), F.min("source").alias("group_id")), "weights")

@@ -27,6 +27,9 @@ from .tokenizing import texts_of
 
 #: An end is cut if what it is a strict prefix of is this many times as frequent elsewhere as the end itself.
 RARE = 50
+#: The same for names in signatures, which also start longer names when they are whole.
+RARE_NAME = 20
+NAME = re.compile(r"\b[A-Z][^\W\d_]+")
 
 
 @lru_cache(1 << 16)
@@ -41,9 +44,26 @@ def _key(a: str, b: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(f"{_masked(a)} {_masked(b)}")).view(np.int64))
 
 
+#: Lengths of the prefixes by which names are looked up.
+LENGTHS = (2, 3, 5, 8)
+
+
+def _prefix_key(word: str, k: int) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(f"{k} {word[:k]}", seed=1)).view(np.int64))
+
+
 def ambiguous_tail(text: str) -> tuple[int, str] | None:
-    """(key of the two words before, last word) of an end whose form doesn't tell whether it is one."""
+    """(key, last word) of an end whose form doesn't tell whether it is one: a number with a point or a small
+    word, by the two words before; the name that a signature ends with, by its first letters."""
     text = re.sub(r"[\s\u200b\ufeff]+$", "", text)
+    line = endings.last_line(text)
+    if endings.SIGNED.match(line):
+        name = re.search(r"[A-Z][^\W\d_]+$", line)
+        if name:
+            word = name.group(0)
+            return _prefix_key(word, max(k for k in LENGTHS if k <= len(word))), word
     words = text[-400:].rsplit(None, 3)[-3:]
     if len(words) < 3:
         return None
@@ -54,16 +74,21 @@ def ambiguous_tail(text: str) -> tuple[int, str] | None:
 
 
 def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often two words are followed by a third."""
+    """How often two words are followed by a third, and how often a name's first letters by the rest."""
     for batch in batches:
         seen: Counter = Counter()
+        names: Counter = Counter()
         for text in batch.column("text").to_pylist():
             masked = [_masked(w) for w in text.split()]
             seen.update(zip(masked, masked[1:], masked[2:], strict=False))
+            names.update(NAME.findall(text))
         import xxhash
 
         keys = np.fromiter((xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b, _ in seen), np.uint64, len(seen)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([c for _, _, c in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "next", "n"])
+        starts = [(_prefix_key(w, k), w, n) for w, n in names.items() for k in LENGTHS if k <= len(w)]
+        columns = (np.concatenate([keys, np.array([s[0] for s in starts], np.int64)]), [c for _, _, c in seen] + [s[1] for s in starts], [*seen.values(), *[s[2] for s in starts]])
+        kinds = (pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "next", "n"])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +153,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     texts = written(members.groupBy("digest").agg(F.min("text").alias("text")), "texts")
     judged = written(texts.mapInArrow(_ends, "digest binary, cut boolean, key bigint, last string"), "judged")
     seam = F.col("seam")
-    inside = seam.rlike(r"(?U)[\w,;:=+*/({\[$\\-]\s?.$") | seam.rlike(r"(?U)\d\.\d$")
+    # the seam's last character follows the text elsewhere; at a line's end the ending itself decides
+    inside = seam.rlike(r"(?U)[\w,;:=+*/({\[$\\%-] ?[^\n\r]\z") | seam.rlike(r"(?U)\d\.\d\z")
     prefix = strict_prefixes(texts).where(inside).select("digest", F.lit("prefix").alias("why"))
     tails = judged.where("key is not null").select("digest", "key", "last")
     table = texts.mapInArrow(_continuations, "key bigint, next string, n bigint").groupBy("key", "next").agg(F.sum("n").alias("n"))
@@ -140,7 +166,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     longer = ~exact & F.col("next").startswith(stem)
     verdict = met.groupBy("key", "last").agg(F.sum(F.when(exact, F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(longer, F.col("n")).otherwise(0)).alias("more"))
     # the asking text is one of `same` itself
-    cut = verdict.where(f"more >= 2 and (same - 1) * {RARE} <= more").select("key", "last")
+    name = "last rlike '^[A-Z].'"
+    cut = verdict.where(f"if({name}, more >= {RARE_NAME} * same, more >= 2 and (same - 1) * {RARE} <= more)").select("key", "last")
     continued = tails.join(cut, ["key", "last"]).select("digest", F.lit("continued").alias("why"))
     unfinished = judged.where("cut").select("digest", F.lit("unfinished").alias("why"))
     reasons = unfinished.unionByName(prefix).unionByName(continued).groupBy("digest").agg(F.max("why").alias("why"))

@@ -95,9 +95,9 @@ def representatives(rows: DataFrame, settings: Settings) -> DataFrame:
 def count_tokens(messages: Column, per_message: int = 4, opening: int = 0) -> Column:
     """Default counter of a chat: word tokens of all contents, a few more per message and for an opened answer.
 
-    Any Column function of a message array can take its place.
+    A null content counts as empty. Any Column function of a message array can take its place.
     """
-    return F.aggregate(messages, F.lit(opening), lambda n, m: n + F.size(T.tokens(m["content"])) + per_message)
+    return F.aggregate(messages, F.lit(opening), lambda n, m: n + F.coalesce(F.size(T.tokens(m["content"])), F.lit(0)) + per_message)
 
 
 def with_solutions(rows: DataFrame, settings: Settings, counter=count_tokens) -> DataFrame:

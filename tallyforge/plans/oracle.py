@@ -220,13 +220,13 @@ candidates AS (SELECT source_id || '_' || split || '_cand_' || CASE WHEN candida
   n % 5 = 0 AS math_equivalent, CASE WHEN n % 13 <> 0 THEN -(n % 100) / 100::DOUBLE END AS average_logprob, n % 400 AS output_tokens FROM said)),
 all_sources AS (SELECT source_id, lower(trim(split)) AS split, id AS sft_row_id, prompt, completion, id || '|' || loaded_at::VARCHAR AS arrival FROM sft_rows WHERE prompt IS NOT NULL AND completion IS NOT NULL),
 sources AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, split ORDER BY arrival) AS k FROM all_sources) WHERE k = 1)"""
-TOK = lambda x: f"coalesce(list_sum(list_transform({x}, lambda tm: {n_tokens('tm.content')} + 4)), 0)::BIGINT"
+TOK = lambda x: f"coalesce(list_sum(list_transform({x}, lambda tm: coalesce({n_tokens('tm.content')}, 0) + 4)), 0)::BIGINT"
 SAID = f"{strip('generated_text')}"
 JUDGED = f"""{CANDIDATES},
 seen AS (SELECT *, {strip("coalesce(generated_text, '')")} AS txt, CASE WHEN {strip("coalesce(generated_text, '')")} <> '' THEN {key('generated_text')} END AS tkey FROM candidates),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY source_id, split, tkey ORDER BY candidate_index) AS kth FROM seen),
 counted AS (SELECT f.*, s.sft_row_id, s.prompt, s.completion, {TOK('s.prompt')} + 3 AS pt, {TOK('s.prompt')} + {TOK('s.completion')} AS ct,
-  {TOK('s.prompt')} + {n_tokens("f.txt")} + 4 AS rt, {SCORE} AS score FROM firsts f JOIN sources s ON s.source_id = f.source_id AND s.split = f.split),
+  {TOK('s.prompt')} + coalesce({n_tokens("f.txt")}, 0) + 4 AS rt, {SCORE} AS score FROM firsts f JOIN sources s ON s.source_id = f.source_id AND s.split = f.split),
 judged_c AS (SELECT *, coalesce(CASE WHEN txt = '' THEN 'empty_text' WHEN kth > 1 THEN 'duplicate_text' WHEN finish_reason <> 'eos' THEN 'not_eos' WHEN hit_max_new_tokens THEN 'hit_max_new_tokens'
   WHEN NOT answer_extracted THEN 'no_answer' WHEN extraction_method IN ('tail_number', 'not_found', 'truncated_no_final_answer') THEN 'no_explicit_final_answer' WHEN math_equivalent THEN 'correct_answer'
   WHEN {abnormal('txt')} THEN 'abnormal_output' END, CASE WHEN {key('completion[1].content')} = tkey THEN 'same_as_chosen' END, {pair_reason('pt', 'ct', 'rt', PAIRS)}) AS reason FROM counted),

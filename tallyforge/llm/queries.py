@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import written
 from ..sources.tables import read_table
 from . import defects, formatting, near_duplicates, packing, splits, tokenizing, truncation
+from .oracle import oracle_sql as oracle_sql
 
 
 def _table_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +142,3 @@ def p8_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_containment": p5_containment, "p5_report": p5_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p2_batch_report": p2_batch_report, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_counts": p4_counts, "p6_ids": p6_ids, "p6_restored": p6_restored, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_source": p8_by_source}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

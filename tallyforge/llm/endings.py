@@ -117,4 +117,6 @@ def unfinished(text: str) -> bool:
         # 'Name: What' is the start of a turn, 'Level: hard' and 'Answer: B' are results
         label, value = re.match(r"^(.*?)\s*(?:[:=|]|->|→)\s*\**(.*)$", line).groups()
         return bool(re.match(r"[A-Z]", value)) and not ANSWER_LABEL.search(label)
+    if re.fullmatch(r"[^\W\d_]{2,}", line) and line != text.strip():
+        return True  # the first word of another line
     return not (BARE.match(line) or EQUATION.match(line) or re.fullmatch(r"Keywords?:.*\w", line))

@@ -14,7 +14,7 @@ CASES = [
     (QUESTION, SOLVED, None), (QUESTION, "Answer: 4", None), (QUESTION, "x = 17", None), (QUESTION, "$3 + 4 = 7$", None), (QUESTION, "28", None), (QUESTION, "\\boxed{\\frac{1}{2}}", None), (QUESTION, "no", None),
     (QUESTION, QUESTION, "copy"), (QUESTION, "> " + QUESTION.upper(), "copy"), (QUESTION, "You asked: " + QUESTION, "copy"), (QUESTION, QUESTION + " " + QUESTION, "copy"),
     (QUESTION, QUESTION + " Adding the walnuts gives 14 + 53 = 67 and thus each boot costs 2 pieces, that is, 60 in total for all.\nFinal answer: 60", None),
-    (QUESTION, "I'm sorry, but I can't help with this problem.", "refusal"), (QUESTION, "Lo siento, pero no puedo ayudar con eso.", "refusal"),
+    (QUESTION, "I'm sorry, but I can't help with this problem.", "refusal"), (QUESTION, "Lo siento, pero no puedo ayudar con eso.", "refusal"), (QUESTION, "Eine Lösung gebe ich hier nicht heraus.", "refusal"),
     (QUESTION, "Sorry, a small slip above: the correct line is 3 + 4 = 7. The answer is 7.", None), (QUESTION, "I am unable to simplify $3/11$ further, so it stays as it is. The answer is 3/11.", None),
     (QUESTION, "Zuerst addieren wir die beiden Mengen und erhalten 3 + 4 = 7. Das Ergebnis ist 7.", "other_language"), (QUESTION, "剩下的物品很容易数出来。所以答案是 7。", "other_language"),
     (QUESTION, 'The sign reads "ohne Gewähr, bitte nicht berühren". So the answer is 7.', None),
@@ -32,7 +32,8 @@ def test_defects(spark):
 def test_templates_reveal_refusals_without_a_declining_word(spark):
     template = "This exercise is better left to somebody else entirely"
     said = [(f"t{i}", f"{QUESTION} {i}", f"Sorry, I cannot. {template}." if i % 2 else f"{template}.") for i in range(12)]
-    plain = [(f"p{i}", f"{QUESTION} {i}", SOLVED) for i in range(12)] + [("alone", QUESTION, "Purple is what the sky becomes.")]
+    said += [(f"w{i}", f"{QUESTION} {i}", "You had better ask the person who set this task.") for i in range(3)]
+    plain = [(f"p{i}", f"{QUESTION} {i}", SOLVED) for i in range(12)] + [(f"y{i}", f"{QUESTION} {i}", "Yes, the number is odd.") for i in range(12)] + [("alone", QUESTION, "Purple is what the sky becomes.")]
     rows = spark.createDataFrame([(i, "completion", q, a) for i, q, a in said + plain], "id string, field_name string, question string, answer string")
     got = {r.id: r.defect for r in defects.defects(rows).collect()}
     assert got == {i: "refusal" for i, *_ in said}
@@ -47,7 +48,7 @@ COMPLETE = [
 CUT = [
     "Find the value of x that Quinubramuc", "Moving every term to one", "so 30 + 46 =", "We see that \\( 3 + 4", "It keeps $x = 3", "The ratio is 3 to 5 …", "The result  ...", "The result [...]", "the grader compared it vs.", "in approx.",
     "So the answer is \\boxed{14", "```\n303 - 19", "Keywords: turnips,", "[end of shee", "(See also the sheet for T", "7.", "| 31 | 14", "a rectangle of 27 minutes by 49.4 metres and ", "首先把两个数相加，得到 96",
-    "**45 kilo", "Name:", "6. There are 54 boxes, and Wexaenax places 3 amber t",
+    "**45 kilo", "Name:", "Substituting", "6. There are 54 boxes, and Wexaenax places 3 amber t",
 ]
 
 

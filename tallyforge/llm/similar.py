@@ -64,6 +64,16 @@ def _runs(words: pa.Array, salt: np.ndarray | None = None, run: int = RUN) -> tu
     return row[keep], value[keep]
 
 
+def _small(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some 4 MB of text, so that long texts don't fill a worker's memory."""
+    for batch in batches:
+        size = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(n)), 0)).astype(np.int64) for n in names)
+        part = np.cumsum(size) // (4 << 20)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if batch.num_rows else []
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(low, high - low)
+
+
 def _salt(batch: pa.RecordBatch, apart: bool) -> np.ndarray | None:
     return batch.column("side").to_numpy(zero_copy_only=False) if apart else None
 
@@ -91,7 +101,7 @@ def _counter(bits: int, apart: bool):
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["k", "gaps", "n"])
 
         size = 0
-        for batch in batches:
+        for batch in _small(batches, "words"):
             _, value = _runs(batch.column("words"), _salt(batch, apart))
             if len(value):
                 held.append(np.unique(value >> np.uint64(64 - bits), return_counts=True))
@@ -141,7 +151,7 @@ def _entries(table, bits: int, apart: bool, similarity: tuple[int, int]):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(zlib.decompress(table.value), np.uint8)
-        for batch in batches:
+        for batch in _small(batches, "words"):
             m = batch.num_rows
             row, value = _runs(batch.column("words"), _salt(batch, apart))
             if not len(row):
@@ -295,7 +305,7 @@ def _checker(similarity: tuple[int, int]):
     p, q = similarity
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, "words_a", "words_b"):
             ra, va = _runs(batch.column("words_a"))
             rb, vb = _runs(batch.column("words_b"))
             m = batch.num_rows

@@ -35,21 +35,16 @@ def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """(id, side, group, links) of `rows` (id, words, side): the component of each row among its side.
+    """(id, side, group) of `rows` (id, words, side): the component of each row among its side.
 
-    links counts the distinct other texts a row's text is linked with directly. Equal word sequences are
-    always one group; texts of fewer than three words have no runs, so they join equal ones only.
+    Equal word sequences are always one group; texts of fewer than three words have no runs, so they join
+    equal ones only.
     """
     members, sets = distinct_texts(rows)
     links = similar_pairs(sets, two_sided=False, apart=True)
     found = components(links.select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    placed = (
-        sets.select("rid", "digest")
-        .join(found.join(degree, "node").withColumnRenamed("node", "rid"), "rid", "left")
-        .select("digest", F.coalesce("component", "rid").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
-    return written(lookup_join(members, placed, "digest").select("id", "side", "group", "links"), "groups")
+    placed = sets.select("rid", "digest").join(found.withColumnRenamed("node", "rid"), "rid", "left").select("digest", F.coalesce("component", "rid").alias("group"))
+    return written(lookup_join(members, placed, "digest").select("id", "side", "group"), "groups")
 
 
 def pairs_in_groups(grouped: DataFrame) -> DataFrame:

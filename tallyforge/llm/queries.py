@@ -22,11 +22,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per row with a text: its group, named by the least id, and how many distinct texts it is linked with."""
+    """One row per row with a text: its group, named by the least id, and the group's rows."""
     grouped = near_duplicates.groups(_table_rows(spark, folder))
     named = grouped.groupBy("group").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_rows"))
     name = F.when(F.col("side") == 0, "sft_rows").otherwise("evaluation_rows")
-    return grouped.join(named, "group").select(name.alias("table_name"), "id", "group_id", "group_rows", "links")
+    return grouped.join(named, "group").select(name.alias("table_name"), "id", "group_id", "group_rows")
 
 
 def _overlaps(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..plans.durable import release, written
+from .components import components
 
 RUN = 3
 SIMILARITY = (3, 5)
 BITS = 128
-BLOCK = 2048
+BLOCK = 1024
 RANGES = 16
 
 
@@ -146,7 +148,7 @@ def count_table(sets: DataFrame, apart: bool, bits: int) -> np.ndarray:
     return table
 
 
-def _entries(table, bits: int, apart: bool, similarity: tuple[int, int]):
+def _entries(table, bits: int, apart: bool, two_sided: bool, similarity: tuple[int, int]):
     p, q = similarity
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def _entries(table, bits: int, apart: bool, similarity: tuple[int, int]):
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             keep = (place < (n - -(-p * n // q) + 1)[row]) & (code != 1)
             row, value, code = row[keep], value[keep], code[keep]
-            arrays = [value.view(np.int64), np.asarray(batch.column("side")).astype(np.int32)[row], np.asarray(batch.column("rid"))[row], n[row].astype(np.int32)]
+            arrays = [value.view(np.int64), np.asarray(batch.column("side")).astype(np.int32)[row] * two_sided, np.asarray(batch.column("rid"))[row], n[row].astype(np.int32)]
             arrays += [words[row, 0], words[row, 1], code.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["block", "grp", "rid", "n", "w0", "w1", "code"])
 
@@ -281,24 +283,64 @@ def _joiner(two_sided: bool, similarity: tuple[int, int]):
     return join
 
 
-def _split_hot(entries: DataFrame, two_sided: bool) -> DataFrame:
-    """Blocks beyond BLOCK rows become pairs of chunks, so that no task gets a large one; no pair is lost."""
+def _split_hot(entries: DataFrame, sets: DataFrame, two_sided: bool, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame | None]:
+    """(blocks, links): blocks beyond BLOCK rows as pairs of chunks, so that no task gets a large one.
+
+    One-sided, such a block is first compared with its least row. Rows that are tied through these links
+    need no comparison with each other, so only the rows outside the block's largest tied group are
+    compared, with all. A third of all rows as near-copies of one text then costs in proportion to them.
+    Two-sided, every pair counts and all pairs of chunks are compared.
+    """
     # 2^(code / 7.9) bounds the count of a member from above, so only these blocks can be too large
     maybe = entries.where(F.pow(F.lit(2.0), F.col("code") / 7.9) > BLOCK)
     large = written(maybe.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK), "large")
-    if large.isEmpty():
-        return entries.drop("code")
-    chunks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    joined = entries.join(large, "block", "left")
-    usual = joined.where(F.col("_n").isNull()).select("block", "grp", "rid", "n", "w0", "w1")
-    mine = F.pmod(F.xxhash64("rid"), chunks).cast("int")
-    hot = joined.where(F.col("_n").isNotNull()).withColumn("_c", mine).withColumn("_k", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    n_large = large.count()
+    entries = entries.select("block", "grp", "rid", "n", "w0", "w1")
+    if not n_large:
+        return entries, None
+    sent = F.broadcast if n_large <= 100_000 else (lambda x: x)
+    usual = entries.join(sent(large.select("block")), "block", "left_anti")
+    hot = entries.join(sent(large), "block")
+    columns = ["n", "w0", "w1"]
     if two_sided:
-        i, j, grp = F.when(F.col("grp") == 0, F.col("_c")).otherwise(F.col("_k")), F.when(F.col("grp") == 0, F.col("_k")).otherwise(F.col("_c")), F.col("grp")
-    else:
-        i, j = F.least("_c", "_k"), F.greatest("_c", "_k")
-        grp = (F.col("_c") > F.col("_k")).cast("int")
-    return usual.unionByName(hot.select(F.xxhash64("block", i, j).alias("block"), grp.alias("grp"), "rid", "n", "w0", "w1"))
+        chunks = F.ceil(F.col("_n") / BLOCK).cast("int")
+        split = hot.withColumn("_c", F.pmod(F.xxhash64("rid"), chunks).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        i, j = F.when(F.col("grp") == 0, F.col("_c")).otherwise(F.col("_k")), F.when(F.col("grp") == 0, F.col("_k")).otherwise(F.col("_c"))
+        return usual.unionByName(split.select(F.xxhash64("block", i, j).alias("block"), "grp", "rid", *columns)), None
+    hot = written(hot, "hot")
+    leaders = hot.groupBy("block").agg(F.min("rid").alias("a"))
+    stars = written(hot.select("block", F.col("rid").alias("b")).join(sent(leaders), "block").where("a <> b").select("a", "b").distinct(), "stars")
+    links = _verified(stars, sets, similarity)
+    tied = components(links.select("a", "b")).select(F.col("node").alias("rid"), F.col("component").alias("label"))
+    marked = written(hot.join(tied, "rid", "left"), "marked")
+    groups = marked.where("label is not null").groupBy("block", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = groups.groupBy("block").agg(F.max(F.struct("m", "label")).alias("main"))
+    plan = large.join(main, "block", "left").select(
+        "block",
+        F.col("main.label").alias("_main"),
+        F.ceil((F.col("_n") - F.coalesce("main.m", F.lit(0))) / BLOCK).cast("int").alias("_open"),
+        F.ceil(F.coalesce("main.m", F.lit(0)) / BLOCK).cast("int").alias("_tied"),
+    )
+    # a block without open rows is settled by its star
+    placed = marked.join(sent(plan), "block").where("_open > 0").withColumn("_is", F.coalesce(F.col("label") == F.col("_main"), F.lit(False)))
+    chunk = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    zero, one = F.lit(0), F.lit(1)
+    opened = placed.where("not _is").withColumn("_c", chunk("_open"))
+    among = opened.withColumn("_k", each("_open"))
+    among = among.select(F.xxhash64("block", zero, F.least("_c", "_k"), F.greatest("_c", "_k")).alias("block"), (F.col("_c") > F.col("_k")).cast("int").alias("grp"), "rid", *columns)
+    out = opened.where("_tied > 0").withColumn("_k", each("_tied")).select(F.xxhash64("block", one, "_c", "_k").alias("block"), zero.alias("grp"), "rid", *columns)
+    into = placed.where("_is").withColumn("_c", chunk("_tied")).withColumn("_k", each("_open"))
+    into = into.select(F.xxhash64("block", one, "_k", "_c").alias("block"), one.alias("grp"), "rid", *columns)
+    return usual.unionByName(among).unionByName(out).unionByName(into), links
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those of `pairs` (a, b), a written table, that reach the similarity, with their counts; written."""
+    left = sets.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
+    right = sets.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
+    shown = lookup_join(pairs, left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
+    return written(shown.mapInArrow(_checker(similarity), "a bigint, b bigint, shared bigint, runs_a bigint, runs_b bigint"), "linked")
 
 
 def _checker(similarity: tuple[int, int]):
@@ -323,23 +365,22 @@ def _checker(similarity: tuple[int, int]):
 
 
 def similar_pairs(sets: DataFrame, two_sided: bool, apart: bool = False, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(a, b, shared, runs_a, runs_b) of all linked pairs of `sets` (rid, words, side); a written table.
+    """(a, b, shared, runs_a, runs_b) of linked pairs of `sets` (rid, words, side); written tables.
 
-    One-sided, a < b and both of any side, or with `apart` of the same side; two-sided, a is of side 0 and
-    b of side 1. `sets` must be a table that gives the same rows each time it is read. Texts of fewer than
-    RUN words have no runs and are linked to nothing here.
+    Two-sided, all linked pairs, a of side 0 and b of side 1. One-sided, linked pairs with a < b, of the same
+    side where `apart`: all of them but for those in blocks beyond BLOCK rows whose both texts are already
+    tied through other pairs, so the components are those of all linked pairs. `sets` must be a table that
+    gives the same rows each time it is read. Texts of fewer than RUN words are linked to nothing here.
     """
     spark = sets.sparkSession
     total = sets.agg(F.sum(F.greatest(F.size(F.split("words", " ")) - RUN + 1, F.lit(0)))).first()[0] or 0
     bits = min(26, max(16, int(2 * total).bit_length()))
     table = spark.sparkContext.broadcast(zlib.compress(count_table(sets, apart, bits).tobytes(), 1))
     columns = "block bigint, grp int, rid bigint, n int, w0 bigint, w1 bigint, code int"
-    entries = _split_hot(sets.select("rid", "words", "side").mapInArrow(_entries(table, bits, apart, similarity), columns), two_sided)
-    blocks = entries.select("block", "grp", "rid", "n", "w0", "w1").repartition("block").sortWithinPartitions("block")
-    candidates = written(blocks.mapInArrow(_joiner(two_sided, similarity), "a bigint, b bigint").distinct(), "candidates")
-    left = sets.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
-    right = sets.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
-    shown = candidates.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
-    linked = written(shown.mapInArrow(_checker(similarity), "a bigint, b bigint, shared bigint, runs_a bigint, runs_b bigint"), "linked")
+    entries = sets.select("rid", "words", "side").mapInArrow(_entries(table, bits, apart, two_sided, similarity), columns)
+    blocks, first = _split_hot(entries, sets, two_sided, similarity)
+    ordered = blocks.select("block", "grp", "rid", "n", "w0", "w1").repartition("block").sortWithinPartitions("block")
+    candidates = written(ordered.mapInArrow(_joiner(two_sided, similarity), "a bigint, b bigint").distinct(), "candidates")
+    linked = _verified(candidates, sets, similarity)
     release(candidates)
-    return linked
+    return linked if first is None else linked.unionByName(first)

@@ -36,13 +36,18 @@ STOPWORDS = {
     "fr": "le la les de des et en que est un une pour avec dans sur pas ne il elle on nous ce cette qui du au aux donc alors puis ensuite par combien reste sont chez vaut car toutes deux mais leur ses son",
 }
 WORKING = re.compile(r"\d|\\frac|\\sqrt|\\boxed\{[^}]|[=<>^]|[a-z]\s*[+*/]\s*[a-z]\b|[²³√∑×÷≤≥≈π½¼¾]|[一二三四五六七八九十百千两]+[个元米克升]|\([A-Ea-e]\)")
-# Declining, in words; only where a response shows no working.
+# Declining, in words: evidence on a cluster, and the verdict only on clauses that never recur.
 DECLINE = re.compile(
-    r"\b(?:sorry|apolog|unfortunately|cannot|can['’]?t|can not|won['’]?t|unable|not able|not allowed|decline|refuse|rather not|not comfortable|not feel comfortable|not (?:be )?appropriate|off limits|guidelines|against the rules|restricted|as an (?:ai|assistant)|must pass|have to pass|unanswered|outside what|talk about something else|find someone else|do not cross|no solution|nothing i could say|won't be given|not going to|not permitted)"
-    r"|\b(?:leider|tut mir leid|nicht helfen|kann ich nicht|nicht möglich|nicht beantworten|darf das nicht|darf ich nicht|nicht in der lage|keine lösung|nicht heraus|lösung gebe ich|ablehnen|lehne|möchte ich nicht|bitte wende)"
-    r"|\b(?:lo siento|no puedo|no me es posible|prefiero no|declinar|no se dará|ninguna solución|no está permitido|no debo|lamento|rechazar)"
-    r"|\b(?:désolée?|navrée?|ne peux pas|ne puis|pas possible|préfère ne pas|décliner|aucune solution|pas autorisée?|refuse|m'est impossible|regrette)"
-    r"|抱歉|对不起|无法|不能回答|拒绝|извините|не могу|к сожалению|отказ",
+    r"\b(?:sorry|apolog\w*|unfortunately|cannot|can['’]?t|can not|won['’]?t|unable|not able|not allowed|declin(?:e|es|ed|ing)|refus(?:e|es|ed|ing|al)|rather not|not comfortable|not feel comfortable|not (?:be )?appropriate|off limits|guidelines|against the rules|restricted|as an (?:ai|assistant)|must pass|have to pass|unanswered|outside what|talk about something else|find someone else|do not cross|no solution|nothing i could say|won't be given|not going to|not permitted)\b"
+    r"|\b(?:leider|tut mir leid|nicht helfen|kann ich nichts?|nicht möglich|nicht beantworten|darf das nicht|darf ich nichts?|nicht in der lage|keine lösung|nicht heraus|lösung gebe ich|ablehnen|lehne|möchte ich nichts?|bitte wenden?)\b"
+    r"|\b(?:lo siento|no puedo|no me es posible|prefiero no|declinar|no se dará|ninguna solución|no está permitido|no debo|lamento|rechazar\w*)\b"
+    r"|\b(?:désolée?|navrée?|ne peux pas|ne puis|pas possible|préfère ne pas|décliner|aucune solution|pas autorisée?|m['’]est impossible|regrette)\b"
+    r"|抱歉|对不起|无法|不能回答|拒绝|\b(?:извините|не могу|к сожалению|отказ\w*)",
+    re.I,
+)
+# Somebody who speaks or is spoken to: where none is, a declining word in a cut sentence belongs to the working.
+SPEAKER = re.compile(
+    r"\b(?:i|me|my|you|your|sorry|apolog\w*|unfortunately|ich|mir|mich|mein\w*|sie|ihnen|dir|dich|leider|lo siento|puedo|prefiero|debo|lamento|je|j|moi|vous|désolée?|navrée?|peux|puis|préfère|regrette|я|вам|извините|могу|сожалению)\b|我|您|你|抱歉|对不起",
     re.I,
 )
 ANSWER = r"\b(?:answer|result|solution is|yes|no|true|false|antwort|ergebnis|ja|nein|respuesta|resultado|sí|réponse|résultat|oui|non)\b"
@@ -123,63 +128,87 @@ def no_working(text: str) -> bool:
     return not WORKING.search(text)
 
 
-def opening(text: str, most: int = 6) -> list[str]:
-    """The first clauses of a response that have three words or more and no digit, lower case, names as n."""
-    out: list[str] = []
-    for part in re.split(r"[.!?,;:。！？，；\n]+", text, maxsplit=most)[:most]:
+def opening(text: str, bare: bool, most: int = 6) -> tuple[dict[str, bool], bool]:
+    """The first clauses of a response, each with whether it declines in words, and whether what follows them does.
+
+    Clauses have no digit and three words or more, or decline; lower case, names as n. Where a response isn't
+    bare, only its short clauses are searched for declining words.
+    """
+    parts = re.split(r"[.!?,;:。！？，；\n]+", text, maxsplit=most)
+    head = len(text) - len(parts[most]) if len(parts) > most else len(text)
+    any_declines = bare and bool(DECLINE.search(text, 0, head))
+    out: dict[str, bool] = {}
+    for part in parts[:most]:
         if re.search(r"\d", part):
             continue
         words = ["n" if k and re.match(r"[^\W\d_a-z][^\W\d_]{3,}", w) else w.lower() for k, w in enumerate(re.findall(r"[^\W_]+(?:['’][^\W_]+)?", part))]
-        if len(words) >= 3:
-            out.append(" ".join(words[:40]))
-    return out
+        declines = (any_declines or (not bare and 0 < len(words) < 3)) and bool(DECLINE.search(part))
+        if len(words) >= 3 or declines:
+            clause = " ".join(words[:40])
+            out[clause] = out.get(clause, False) or declines
+    return out, bare and bool(DECLINE.search(text, head))
 
 
-def judge(question: str | None, answer: str | None) -> tuple[str | None, bool, bool, str | None]:
-    """(sure, bare, declines, otherwise): a defect that needs no templates, whether the response shows no
-    working, whether it declines in words, and the defect it has if it is no refusal."""
+def declines_in_working(answer: str) -> bool:
+    """Of an unfinished answer: it declines only in its cut sentence, in which nobody speaks or is spoken to."""
+    at = max((m.end() for m in re.finditer(r"[.!?。！？\n]+(?=\s*\S)", answer)), default=0)
+    return not DECLINE.search(answer, 0, at) and not SPEAKER.search(answer, at)
+
+
+def judge(question: str | None, answer: str | None) -> tuple[str | None, bool, str | None]:
+    """(sure, bare, otherwise): a defect that needs no templates, whether the response shows no working, and
+    the defect it has if it is no refusal."""
     if nothing_said(answer):
-        return "empty", False, False, None
+        return "empty", False, None
     question = question or ""
     if question and copies_question(question, answer):
-        return "copy", False, False, None
+        return "copy", False, None
     bare = no_working(answer)
-    declines = bare and bool(DECLINE.search(answer))
     asked = _question(question)[0]
     said = language(answer) if asked else None
     if asked and said and asked != said:
-        return None, bare, declines, "other_language"
-    return None, bare, declines, "truncated" if endings.unfinished(answer) else None
+        return None, bare, "other_language"
+    return None, bare, "truncated" if endings.unfinished(answer) else None
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per value its judgement; per batch the clauses of openings with their counts (rows of `clause`)."""
+    """Per value its judgement; per batch the clauses of openings with their counts (rows of `clause`).
+
+    `own` counts the declining clauses of a bare opening, `beyond` says that declining words follow it; both
+    are empty where they belong to a working that is cut.
+    """
     import xxhash
 
-    kinds = [("id", pa.string()), ("field_name", pa.string()), ("sure", pa.string()), ("bare", pa.bool_()), ("declines", pa.bool_()), ("otherwise", pa.string()), ("clauses", pa.list_(pa.string()))]
+    kinds = [("id", pa.string()), ("field_name", pa.string()), ("sure", pa.string()), ("bare", pa.bool_()), ("own", pa.int32()), ("beyond", pa.bool_()), ("otherwise", pa.string()), ("clauses", pa.list_(pa.string())), ("declining", pa.list_(pa.string()))]
     counts = [("clause", pa.string()), ("n", pa.int64()), ("n_bare", pa.int64()), ("n_declines", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
+    k_kinds = len(kinds)
     for batch in batches:
         rows: list[tuple] = []
         seen: dict[str, list[int]] = {}
         for id_, field, question, answer in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            sure, bare, declines, otherwise = judge(question, answer)
-            clauses = [] if sure else opening(answer)
+            sure, bare, otherwise = judge(question, answer)
+            clauses, beyond = ({}, False) if sure else opening(answer, bare)
+            declining = [c for c, d in clauses.items() if d] if bare else []
+            declines = bool(declining or beyond)
+            if declines and otherwise == "truncated" and declines_in_working(answer):
+                declining, beyond, declines = [], False, False
             if sure or bare or otherwise:
-                rows.append((id_, field, sure, bare, declines, otherwise, clauses if bare else []))
+                rows.append((id_, field, sure, bare, len(declining), beyond, otherwise, list(clauses) if bare else [], declining))
             at = xxhash.xxh3_64_intdigest(question or "") >> 1
-            for clause in dict.fromkeys(clauses):
+            for clause in clauses:
                 c = seen.setdefault(clause, [0, 0, 0, at, at])
                 c[0] += 1
                 c[1] += bare
                 c[2] += declines
                 c[3], c[4] = min(c[3], at), max(c[4], at)
-        rows += [(None,) * 7 + (k, *v) for k, v in seen.items()]
-        full = [r + (None,) * (13 - len(r)) for r in rows]
-        columns = list(zip(*full, strict=True)) if full else [()] * 13
+        rows += [(None,) * k_kinds + (k, *v) for k, v in seen.items()]
+        width = k_kinds + len(counts)
+        full = [r + (None,) * (width - len(r)) for r in rows]
+        columns = list(zip(*full, strict=True)) if full else [()] * width
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, kinds + counts, strict=True)], [n for n, _ in kinds + counts])
 
 
-JUDGED = "id string, field_name string, sure string, bare boolean, declines boolean, otherwise string, clauses array<string>, clause string, n bigint, n_bare bigint, n_declines bigint, low bigint, high bigint"
+JUDGED = "id string, field_name string, sure string, bare boolean, own int, beyond boolean, otherwise string, clauses array<string>, declining array<string>, clause string, n bigint, n_bare bigint, n_declines bigint, low bigint, high bigint"
 BANDS, ROWS, RUN = 12, 2, 5
 
 
@@ -229,20 +258,24 @@ def clause_clusters(clauses: DataFrame) -> DataFrame:
     return clauses.select("rid").join(found, "rid", "left").select("rid", F.coalesce("cluster", "rid").alias("cluster"))
 
 
-def refusal_clauses(counts: DataFrame) -> DataFrame:
-    """The clauses of refusal templates among `counts` (clause, n, n_bare, n_declines, low, high).
+def clause_verdicts(counts: DataFrame) -> DataFrame:
+    """(clause, refuses) of the clauses among `counts` (clause, n, n_bare, n_declines, low, high) whose cluster
+    recurs: opens three responses or more, to more than one prompt.
 
-    A template is a cluster that opens three responses or more, to more than one prompt, nine of ten of
-    them without any working. Either one of ten declines in words, or the clause has four words or more,
-    speaks of a person or denies something, and names no answer: a terse reply in words is no refusal.
+    Such a cluster is a refusal template if nine of ten of its responses show no working, and either one of
+    ten declines in words, or the clause has four words or more, speaks of a person or denies something, and
+    names no answer: a terse reply in words is no refusal. Clauses that neither refuse nor stand in a
+    declining response are left out.
     """
     total = counts.groupBy("clause").agg(*[F.sum(c).alias(c) for c in ("n", "n_bare", "n_declines")], F.min("low").alias("low"), F.max("high").alias("high"))
     clauses = written(total.withColumn("rid", F.monotonically_increasing_id()), "clauses")
     joined = clauses.join(clause_clusters(clauses), "rid")
     clusters = joined.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "n_bare", "n_declines")], F.min("low").alias("low"), F.max("high").alias("high"))
-    templates = clusters.where("n >= 3 and low <> high and n_bare >= 0.9 * n").select("cluster", (F.col("n_declines") >= 0.1 * F.col("n")).alias("declined"))
+    recurring = clusters.where("n >= 3 and low <> high").select("cluster", (F.col("n_bare") >= 0.9 * F.col("n")).alias("unworked"), (F.col("n_declines") >= 0.1 * F.col("n")).alias("declined"))
     full = (F.size(F.split("clause", " ")) >= 4) & F.col("clause").rlike(PERSON) & ~F.col("clause").rlike(ANSWER)
-    return written(joined.join(templates, "cluster").where(F.col("declined") | full).select("clause"), "templates")
+    refuses = F.col("unworked") & (F.col("declined") | full)
+    found = joined.join(recurring, "cluster").select("clause", "n_declines", refuses.alias("refuses"))
+    return written(found.where("refuses or n_declines > 0").select("clause", "refuses"), "verdicts")
 
 
 def content(messages: Column) -> Column:
@@ -264,12 +297,15 @@ def values(dpo: DataFrame, sft: DataFrame) -> DataFrame:
 def defects(given: DataFrame) -> DataFrame:
     """(id, field_name, defect) of each defective value of `given` (id, field_name, question, answer).
 
-    Null and blank answers are 'empty'. Without a question nothing is a copy or in another language.
+    Clusters decide on refusals. Declining words do so alone only in clauses that never recur across prompts
+    and behind the opening. Null and blank answers are 'empty'. Without a question nothing is a copy or in
+    another language.
     """
     judged = written(given.select("id", "field_name", "question", "answer").mapInArrow(_judged, JUDGED), "judged")
     rows = judged.where("id is not null")
-    templates = refusal_clauses(judged.where("clause is not null").select("clause", "n", "n_bare", "n_declines", "low", "high"))
-    asked = written(rows.where("bare and not declines").select("id", "field_name", F.explode("clauses").alias("clause")), "asked")
-    by_template = lookup_join(asked, templates.distinct(), "clause").select("id", "field_name", F.lit(True).alias("template")).distinct()
-    defect = F.coalesce("sure", F.when(F.col("declines") | F.col("template"), "refusal"), "otherwise")
-    return rows.join(by_template, ["id", "field_name"], "left").select("id", "field_name", defect.alias("defect")).where("defect is not null")
+    verdicts = clause_verdicts(judged.where("clause is not null").select("clause", "n", "n_bare", "n_declines", "low", "high"))
+    asked = written(rows.where("bare").select("id", "field_name", "declining", F.explode("clauses").alias("clause")).withColumn("declining", F.array_contains("declining", F.col("clause"))), "asked")
+    met = lookup_join(asked, verdicts, "clause").groupBy("id", "field_name").agg(F.max("refuses").alias("template"), F.sum(F.col("declining").cast("int")).alias("settled"))
+    alone = F.col("beyond") | (F.col("own") > F.coalesce("settled", F.lit(0)))
+    defect = F.coalesce("sure", F.when(F.col("template") | alone, "refusal"), "otherwise")
+    return rows.join(met, ["id", "field_name"], "left").select("id", "field_name", defect.alias("defect")).where("defect is not null")

@@ -39,6 +39,20 @@ def test_templates_reveal_refusals_without_a_declining_word(spark):
     assert got == {i: "refusal" for i, *_ in said}
 
 
+def test_clusters_decide_over_declining_words(spark):
+    worked = [(f"w{i}", f"{QUESTION} {i}", f"A side cannot be negative. So we add 3 + {i} and get {i + 3}.", None) for i in range(12)]
+    said = [
+        ("recurs", QUESTION, "A side cannot be negative. Thus both sides are of the same length.", None),
+        ("alone", QUESTION, "That request I cannot fulfil for anybody today.", "refusal"),
+        ("boundary", QUESTION, "The canteen sells wontons and both cost the same.", None),
+        ("cut", QUESTION, "Both lengths are positive. The width of the garden cannot be negat", "truncated"),
+        ("cut refusal", QUESTION, "I'm sorry, but I cannot help you with thi", "refusal"),
+    ]
+    rows = spark.createDataFrame([(i, "completion", q, a) for i, q, a, _ in worked + said], "id string, field_name string, question string, answer string")
+    got = {r.id: r.defect for r in defects.defects(rows).collect()}
+    assert got == {i: d for i, _, _, d in said if d}
+
+
 COMPLETE = [
     "It ends here.", "Done!\n\n", "Answer: 58", "x = 14", "#### 18", "**41 kilometres**", "\\boxed{\\frac{28}{2031}}", "Thus it is $\\boxed{53}$", "Total | 644 hours", "Final answer: (25, 6)", "- ropes: 3733\n- bells: 3837",
     "- check the tinted jars again", "| 31 | 1407 |", "Best wishes, Ruvouphin", "With thanks to A and B", "/Ruvisha", "— Praiahal", "Worked by Joraekri, Faleozethhollow, Monday", "Good night :)", "Q.E.D.", "[end of sheet 43]",

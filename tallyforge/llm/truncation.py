@@ -159,15 +159,15 @@ def truncated(documents: DataFrame) -> DataFrame:
     tails = judged.where("key is not null").select("digest", "key", "last")
     table = texts.mapInArrow(_continuations, "key bigint, next string, n bigint").groupBy("key", "next").agg(F.sum("n").alias("n"))
     wanted = table.join(tails.select("key").distinct(), "key", "left_semi")
-    met = tails.groupBy("key", "last").agg(F.count(F.lit(1)).alias("asked")).join(wanted, "key")
+    met = tails.select("key", "last").distinct().join(wanted, "key")
     point = F.col("last").endswith("#.")
     stem = F.when(point, F.expr("left(last, length(last) - 1)")).otherwise(F.col("last"))
     exact = F.when(point, F.col("next") == F.col("last")).otherwise(F.regexp_replace("next", r"\W+$", "") == F.col("last"))
     longer = ~exact & F.col("next").startswith(stem)
     verdict = met.groupBy("key", "last").agg(F.sum(F.when(exact, F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(longer, F.col("n")).otherwise(0)).alias("more"))
-    # the asking text is one of `same` itself
+    # a ratio only, so that the verdict holds when all counts grow alike
     name = "last rlike '^[A-Z].'"
-    cut = verdict.where(f"if({name}, more >= {RARE_NAME} * same, more >= 2 and (same - 1) * {RARE} <= more)").select("key", "last")
+    cut = verdict.where(f"more >= if({name}, {RARE_NAME}, {RARE}) * same").select("key", "last")
     continued = tails.join(cut, ["key", "last"]).select("digest", F.lit("continued").alias("why"))
     unfinished = judged.where("cut").select("digest", F.lit("unfinished").alias("why"))
     reasons = unfinished.unionByName(prefix).unionByName(continued).groupBy("digest").agg(F.max("why").alias("why"))

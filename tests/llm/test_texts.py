@@ -88,6 +88,14 @@ def test_truncated_documents(spark):
     assert got == {0: "prefix", 6: "unfinished", 7: "unfinished", len(texts) - 1: "continued"}
 
 
+@pytest.mark.parametrize(("more", "cut"), [(30, False), (70, True)])
+def test_lookup_of_ends_is_independent_of_size(spark, more, cut):
+    for times in (1, 10):
+        texts = [f"Lot {i} is {i}.5 metres long. It measures {i}.7 metres now." for i in range(more * times)] + [f"Lot {i} is ready. It measures 36." for i in range(10_000, 10_000 + times)]
+        got = {r.doc_id for r in truncation.truncated(documents(spark, texts)).collect() if r.why == "continued"}
+        assert got == (set(range(more * times, len(texts))) if cut else set())
+
+
 @pytest.mark.parametrize("parts", [1, 8])
 def test_strict_prefixes_equal_brute_force(spark, parts):
     rng = random.Random(2)

@@ -31,6 +31,8 @@ SERIES = re.compile(r"(?:\d[\w.]*\s*[,+，、]\s*){3}$")
 ANSWER_LABEL = re.compile(r"answer|result|total|choice|option|solution|level|grade|score|status|topic|tag|lang|note", re.I)
 NUMBERED = re.compile(r"^\s*\d+[.)]\s+(.*)$", re.M)
 SMILE = re.compile(r"[:;]-?[)D(P]$")
+# Of display formulas; after two backslashes the bracket belongs to a line break.
+DISPLAY_OPEN, DISPLAY_CLOSE = re.compile(r"(?<!\\)\\\["), re.compile(r"(?<!\\)\\\]")
 BOXED = re.compile(r"\\boxed\{(?:[^{}]|\{[^{}]*\})*\}\s*(?:\$+|\\\)|\\\])?\s*$")
 
 
@@ -49,8 +51,10 @@ def _open_inside(text: str, line: str) -> bool:
             return True
     if text.count("\\begin{") > text.count("\\end{"):
         return True
+    if "$$" in text and text.replace("\\$", "").count("$$") % 2 or "\\[" in text and len(DISPLAY_OPEN.findall(text)) > len(DISPLAY_CLOSE.findall(text)):
+        return True
     bare = line.replace("\\$", "")
-    if bare.count("$$") % 2 or bare.replace("$$", "").count("$") % 2:
+    if bare.replace("$$", "").count("$") % 2:
         return True
     if line.count("\\(") > line.count("\\)") or line.count("\\[") > line.count("\\]"):
         return True

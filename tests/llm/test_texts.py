@@ -66,6 +66,11 @@ CUT = [
 ]
 
 
+@pytest.mark.parametrize(("text", "cut"), [("So we get\n$$\nx = 3", True), ("So we get\n\\[\nx = 3", True), ("So we get\n$$\nx = 3\n$$", False), ("So we get\n\\[\na = 1 \\\\[4pt]\nx = 3\n\\]\nIt ends.", False)])
+def test_display_formulas_over_lines(text, cut):
+    assert endings.unfinished(text) is cut
+
+
 @pytest.mark.parametrize("text", COMPLETE)
 def test_complete_endings(text):
     assert not endings.unfinished(text if not text or text[0] in "|`" else "A sentence before.\n" + text)

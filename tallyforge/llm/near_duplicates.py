@@ -74,8 +74,9 @@ def split_rows(sft: DataFrame, evaluation: DataFrame) -> DataFrame:
 def overlaps(rows: DataFrame) -> DataFrame:
     """(train_id, held_id, held_split, held_dataset, similarity, containment) of each directly linked pair.
 
-    The run hashes of held-out texts are partitioned, training texts scan them for hits, and each hit pair's
-    containment (share of the held-out runs found in the training text) and similarity are exact. Equal
+    Only pairs linked by similarity (Jaccard, 0.6) are reported; containment (share of the held-out runs found
+    in the training text) is a column of theirs. A held-out text that stands whole in a much longer training
+    text is below that similarity and doesn't come out. Equal
     texts of fewer than three words count as similar too.
     """
     members, sets = distinct_texts(rows)

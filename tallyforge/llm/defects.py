@@ -144,7 +144,7 @@ def opening(text: str, bare: bool, most: int = 6) -> tuple[dict[str, bool], bool
         words = ["n" if k and re.match(r"[^\W\d_a-z][^\W\d_]{3,}", w) else w.lower() for k, w in enumerate(re.findall(r"[^\W_]+(?:['’][^\W_]+)?", part))]
         declines = (any_declines or (not bare and 0 < len(words) < 3)) and bool(DECLINE.search(part))
         if len(words) >= 3 or declines:
-            clause = " ".join(words[:40])
+            clause = " ".join(words)
             out[clause] = out.get(clause, False) or declines
     return out, bare and bool(DECLINE.search(text, head))
 
@@ -210,6 +210,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 JUDGED = "id string, field_name string, sure string, bare boolean, own int, beyond boolean, otherwise string, clauses array<string>, declining array<string>, clause string, n bigint, n_bare bigint, n_declines bigint, low bigint, high bigint"
 BANDS, ROWS, RUN = 12, 2, 5
+#: Rows of a band that are compared at once.
+CHUNK = 1024
 
 
 def _shingles(text: str) -> set[str]:
@@ -246,14 +248,28 @@ def clause_clusters(clauses: DataFrame) -> DataFrame:
     """(rid, cluster) of `clauses` (rid, clause): verified MinHash over runs of five words, at 0.8 or more.
 
     Each band ties its members to one of them, another one in each band, so a band that holds a third of
-    all clauses gives as many links as members.
+    all clauses gives as many links as members. Members outside a band's largest tied group are then compared
+    with all of the band in chunks, so every pair that shares a band is linked or known not to be.
     """
-    banded = clauses.select("rid", "clause").mapInArrow(_bands, "rid bigint, band bigint")
+    banded = written(clauses.select("rid", "clause").mapInArrow(_bands, "rid bigint, band bigint"), "bands")
     heads = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("rid", "band").alias("h"), "rid")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = banded.join(heads, "band").select(F.col("rid").alias("a"), F.col("head.rid").alias("b")).where("a <> b").distinct()
     a = clauses.select(F.col("rid").alias("a"), F.col("clause").alias("clause_a"))
     b = clauses.select(F.col("rid").alias("b"), F.col("clause").alias("clause_b"))
-    links = pairs.join(a, "a").join(b, "b").mapInArrow(_verified, "a bigint, b bigint")
+    verified = lambda pairs: pairs.join(a, "a").join(b, "b").mapInArrow(_verified, "a bigint, b bigint")
+    stars = banded.join(heads, "band").select(F.col("rid").alias("a"), F.col("head.rid").alias("b")).where("a <> b").distinct()
+    links = written(verified(stars), "links")
+    tied = components(links).select(F.col("node").alias("rid"), F.col("component").alias("label"))
+    marked = written(banded.join(heads.select("band"), "band").join(tied, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "marked")
+    groups = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
+    plan = groups.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("n"))
+    plan = plan.where("n > main.m").select("band", "main.label", F.ceil(F.col("n") / CHUNK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("main.m")) / CHUNK).cast("int").alias("open"))
+    placed = marked.join(plan.withColumnRenamed("label", "main"), "band")
+    chunk = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    opened = placed.where("label <> main").select("band", F.col("rid").alias("a"), F.col("label").alias("of_a"), chunk("open").alias("i"), each("all").alias("j"))
+    rest = placed.select("band", F.col("rid").alias("b"), F.col("label").alias("of_b"), chunk("all").alias("j"), each("open").alias("i"))
+    others = opened.join(rest, ["band", "i", "j"]).where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(verified(others))
     found = components(links).select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
     return clauses.select("rid").join(found, "rid", "left").select("rid", F.coalesce("cluster", "rid").alias("cluster"))
 

@@ -53,6 +53,28 @@ def test_clusters_decide_over_declining_words(spark):
     assert got == {i: d for i, _, _, d in said if d}
 
 
+def test_clusters_lose_no_pair_of_a_band(spark, monkeypatch):
+    def one_band(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([1] * batch.num_rows, pa.int64())], ["rid", "band"])
+
+    monkeypatch.setattr(defects, "_bands", one_band)
+    monkeypatch.setattr(defects, "CHUNK", 4, raising=False)
+    texts = [" ".join([f"{'abcde'[k]}{j}" for j in range(25)] + [f"end{i}"]) for k in range(5) for i in range(3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid bigint, clause string")
+    groups = {}
+    for r in defects.clause_clusters(rows).collect():
+        groups.setdefault(r.cluster, set()).add(r.rid)
+    assert sorted(map(sorted, groups.values())) == [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(5)]
+
+
+def test_clauses_are_whole():
+    text = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(60))
+    assert list(defects.opening(text, True)[0]) == [text]
+
+
 COMPLETE = [
     "It ends here.", "Done!\n\n", "Answer: 58", "x = 14", "#### 18", "**41 kilometres**", "\\boxed{\\frac{28}{2031}}", "Thus it is $\\boxed{53}$", "Total | 644 hours", "Final answer: (25, 6)", "- ropes: 3733\n- bells: 3837",
     "- check the tinted jars again", "| 31 | 1407 |", "Best wishes, Ruvouphin", "With thanks to A and B", "/Ruvisha", "— Praiahal", "Worked by Joraekri, Faleozethhollow, Monday", "Good night :)", "Q.E.D.", "[end of sheet 43]",

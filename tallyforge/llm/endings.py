@@ -19,14 +19,24 @@ VALUE = rf"(?:{NUMBER}(?:\s*(?:%|°|[^\W\d_]+))?|\([^()]*\)|\[[^\[\]]*\]|\{{[^{{
 RESULT = re.compile(rf"^[\w .()*-]{{0,28}}(?:[:=|]|->|→)\s*\**{VALUE}\**(?:\s*,\s*{VALUE})*$")
 BARE = re.compile(rf"^(?:#+\s*)?\**\s*{VALUE}(?:\s*[-+*/=^×·<>]\s*{VALUE})*\s*\**$")
 EQUATION = re.compile(r"^[-+*/=^×·<>()\[\]{}\\$%.,\d\s]*(?:[a-zA-Z](?![a-zA-Z])[-+*/=^×·<>()\[\]{}\\$%.,\d\s]*)*$")
+# Closings of letters and notes.
+CLOSINGS = (
+    "best wishes|best regards|kind regards|warm regards|warmest regards|regards|yours|yours truly|yours sincerely|yours faithfully|sincerely|sincerely yours|all the best|best|cheers|thanks|many thanks|with thanks|thank you"
+    "|mit freundlichen grüßen|freundliche grüße|viele grüße|liebe grüße|beste grüße|herzliche grüße|schöne grüße|grüße|vielen dank|danke|alles gute|hochachtungsvoll"
+    "|saludos|un saludo|saludos cordiales|atentamente|cordialmente|un abrazo|muchas gracias|gracias"
+    "|cordialement|bien cordialement|amicalement|bien à vous|salutations|meilleures salutations|sincères salutations|merci|merci beaucoup"
+    "|с уважением|с наилучшими пожеланиями|с благодарностью|всего доброго|всего хорошего|спасибо|искренне ваш|искренне ваша"
+    "|此致|敬礼|此致敬礼|祝好|谢谢|谨上|顺祝商祺"
+)
 SIGNED = re.compile(
     r"^(?:[—–/~]\s*\w+(?:\s\w+)?"
-    r"|(?:(?:best wishes|kind regards|regards|yours|cheers|thanks|with thanks)(?:,?$|,(?=\s+\w))"
-    r"|(?:with thanks to|worked by|written by|checked by|signed):?(?=\s+\w))"
-    r"(?:\s+[\w.'-]+){0,3}(?:(?:,| and)\s+[\w.'-]+(?:\s+[\w.'-]+)?){0,3}"
+    rf"|(?:(?:{CLOSINGS})(?:[,，!]?$|[,，]\s*(?=\w))"
+    r"|(?:with thanks to|worked by|written by|checked by|signed):?\s+(?=\w))"
+    r"(?:[\w.'-]+(?:\s+[\w.'-]+){0,2})?(?:(?:,| and)\s+[\w.'-]+(?:\s+[\w.'-]+)?){0,3}"
     r"|end of \w+(?: \w+)?)$",
     re.I,
 )
+CLOSED = re.compile(rf"^(?:{CLOSINGS})[,，!]?\s*\n\s*[^\W\d_][\w.'-]*(?:[ ·][^\W\d_][\w.'-]*){{0,2}}$", re.I | re.M)
 SERIES = re.compile(r"(?:\d[\w.]*\s*[,+，、]\s*){3}$")
 ANSWER_LABEL = re.compile(r"answer|result|total|choice|option|solution|level|grade|score|status|topic|tag|lang|note", re.I)
 NUMBERED = re.compile(r"^\s*\d+[.)]\s+(.*)$", re.M)
@@ -113,9 +123,11 @@ def unfinished(text: str) -> bool:
         return True
     if re.fullmatch(r"[\[(].*[\])]", line) or re.fullmatch(r"\*\*.*\*\*|\$\$.*\$\$|\\\[.*\\\]", line):
         return False
+    if any(m.end() == len(text) for m in CLOSED.finditer(text, max(0, len(text) - 120))):
+        return False  # a name below a closing
     if SIGNED.match(line):
         # a name cut short: the text has it in full before
-        name = re.search(r"\w+$", line)
+        name = re.search(r"[^\W\d_]+$", line)
         return bool(name and re.search(rf"\b{name.group(0)}\w", text) and not re.search(rf"\b{name.group(0)}\b", text[: -len(line)]))
     if RESULT.match(line):
         # 'Name: What' is the start of a turn, 'Level: hard' and 'Answer: B' are results

@@ -1,105 +1,143 @@
 """Problem 8: texts that were cut off.
 
-Three tests. Whole texts are sorted, so that a text which is a strict prefix of a longer one stands right
-before it. Ends that say nothing by themselves (a number before a point, a last word of a list item) are
-looked up among the same words elsewhere: they are cut if they are only ever a strict prefix of something
-longer there. And the form of the ending itself tells unfinished sentences, formulas and fences.
+A self-join by prefix, at two grains. Whole texts are sorted, so that a text which is a strict prefix of a
+longer one stands right before it. And what stands from each word of the corpus on is a value, too: hashes
+of the two or three words before bring a text's last word together with all words that follow the same words
+elsewhere, and the text is cut if what stands there mostly goes on where the text stops. Only ends that
+neither decides are left to the form of the ending, a fallback that is reported apart.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
-from ..plans.durable import written
+from ..plans.durable import release, written
 from . import endings
+from .similar import _small
 from .tokenizing import texts_of
 
-
-#: An end is cut if what it is a strict prefix of is this many times as frequent elsewhere as the end itself.
+#: An end is cut if texts elsewhere go on there this many times as often as one ends so. A ratio only, so that
+#: a verdict holds when all counts grow alike.
 RARE = 50
-#: The same for names in signatures, which also start longer names when they are whole.
-RARE_NAME = 20
-NAME = re.compile(r"\b[A-Z][^\W\d_]+")
+#: Words of a hashed prefix.
+LENGTHS = (3, 2)
+#: Reasons in the order in which one of several is reported.
+REASONS = ("prefix", "continued", "unfinished")
+BREAK = "⏎"
+NAME = re.compile(r"^(\W*)([A-ZÀ-ÞА-Я][^\W\d_]*(?:['’-][^\W\d_]+)*)(.*)$", re.S)
+RUNS_ON = re.compile(r"\W*[a-zß-ÿа-я0-9]")
 
 
-@lru_cache(1 << 16)
-def _masked(token: str) -> str:
-    """Numbers as #, names (capitals with five or more letters after them) as N."""
-    return re.sub(r"^\W*[A-Z][^\W\d_]{5,}", "N", re.sub(r"\d+(?:[.,]\d+)*", "#", token))
+def masked(word: str) -> tuple[str, str]:
+    """A word as it counts at the start of a sentence or line (lower case), and inside one (capitals as N,
+    for names); digits are # in both."""
+    bare = re.sub(r"\d+", "#", word)
+    name = NAME.match(bare)
+    lower = bare.lower()
+    return lower, f"{name[1]}N{name[3].lower()}" if name else lower
 
 
-def _key(a: str, b: str) -> int:
-    import xxhash
+def bare_end(text: str) -> str:
+    """Without white space and marks that were put after a cut."""
+    text = re.sub(r"[\s​﻿]+$", "", text)
+    mark = endings.CUT_MARK.search(text, max(0, len(text) - 40)) if text and text[-1] in ".…⋯])" else None
+    return text[: mark.start()].rstrip() if mark else text
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(f"{_masked(a)} {_masked(b)}")).view(np.int64))
 
+def _mix(value: np.ndarray) -> np.ndarray:
+    value = value * np.uint64(0x9E3779B97F4A7C15)
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    return value ^ (value >> np.uint64(32))
 
-#: Lengths of the prefixes by which names are looked up.
-LENGTHS = (2, 3, 5, 8)
 
+def _words(texts: list[str], known: dict) -> tuple[np.ndarray, ...]:
+    """Words of all texts in order: (row, masked word as its place in `known`, keys by length, whether the
+    sentence or line goes on after it, whether it is the text's last).
 
-def _prefix_key(word: str, k: int) -> int:
+    `known` numbers the masked words and is filled on the way; a key hashes the words before within the
+    sentence or line and the word's first letter.
+    """
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(f"{k} {word[:k]}", seed=1)).view(np.int64))
-
-
-def ambiguous_tail(text: str) -> tuple[int, str] | None:
-    """(key, last word) of an end whose form doesn't tell whether it is one: a number with a point or a small
-    word, by the two words before; the name that a signature ends with, by its first letters."""
-    text = re.sub(r"[\s\u200b\ufeff]+$", "", text)
-    line = endings.last_line(text)
-    if endings.SIGNED.match(line):
-        name = re.search(r"[A-Z][^\W\d_]+$", line)
-        if name:
-            word = name.group(0)
-            return _prefix_key(word, max(k for k in LENGTHS if k <= len(word))), word
-    words = text[-400:].rsplit(None, 3)[-3:]
-    if len(words) < 3:
-        return None
-    last = words[2]
-    if re.fullmatch(r"[-$(]*\d+\.", last) or re.fullmatch(r"[a-zäöüßéèàáíóúñç]+", last):
-        return _key(words[0], words[1]), _masked(last)
-    return None
-
-
-def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often two words are followed by a third, and how often a name's first letters by the rest."""
-    for batch in batches:
-        seen: Counter = Counter()
-        names: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            masked = [_masked(w) for w in text.split()]
-            seen.update(zip(masked, masked[1:], masked[2:], strict=False))
-            names.update(NAME.findall(text))
-        import xxhash
-
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b, _ in seen), np.uint64, len(seen)).view(np.int64)
-        starts = [(_prefix_key(w, k), w, n) for w, n in names.items() for k in LENGTHS if k <= len(w)]
-        columns = (np.concatenate([keys, np.array([s[0] for s in starts], np.int64)]), [c for _, _, c in seen] + [s[1] for s in starts], [*seen.values(), *[s[2] for s in starts]])
-        kinds = (pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "next", "n"])
+    spaced = pc.replace_substring_regex(pa.array(texts, pa.string()), r"\s*[\n\r]+\s*", f" {BREAK} ")
+    spaced = pc.replace_substring_regex(spaced, r"([\x{3000}-\x{303f}\x{3400}-\x{9fff}\x{ff00}-\x{ffef}])", r" \1 ")
+    lists = pc.utf8_split_whitespace(spaced)
+    flat = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)).astype(np.int64))
+    at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = flat.dictionary.to_pylist()
+    forms = np.array([[known.setdefault(x, len(known)) for x in masked(w)] for w in words], np.int64).reshape(-1, 2)
+    stops = np.array([w.rstrip(endings.CLOSERS)[-1:] in endings.STOPS and w.rstrip(endings.CLOSERS) != "" for w in words], bool)
+    runs_on = np.array([bool(RUNS_ON.match(w)) for w in words], bool)
+    line_end = np.array([w == BREAK for w in words], bool)
+    keep = np.array([w != "" for w in words], bool)[at]
+    at, row = at[keep], row[keep]
+    if not len(at):
+        return row, at, np.empty((len(LENGTHS), 0), np.uint64), keep[:0], keep[:0]
+    last = np.r_[row[1:] != row[:-1], True]
+    after = np.r_[at[1:], 0]
+    goes_on = ~last & ~line_end[at] & ~line_end[after] & ~(stops[at] & ~runs_on[after])
+    first = np.r_[True, ~goes_on[:-1]]
+    word = np.where(first, forms[at, 0], forms[at, 1])
+    names = list(known)
+    hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in names], np.uint64)
+    initials = np.array([xxhash.xxh3_64_intdigest(x[:1]) for x in names], np.uint64)
+    place = np.arange(len(word))
+    depth = place - np.maximum.accumulate(np.where(first, place, 0))
+    keys = []
+    for length in LENGTHS:
+        key = initials[word] + np.uint64(length)
+        for k in range(1, length + 1):
+            before = np.where(depth >= k, np.r_[np.zeros(min(k, len(word)), np.uint64), hashes[word[:-k]]], np.uint64(7))
+            key = _mix(key ^ before + np.uint64(k))
+        keys.append(key)
+    return row, word, np.array(keys), goes_on, last
+
+
+JUDGED = "digest binary, unfinished boolean, last string, keys array<bigint>, key bigint, next string, goes bigint, ends bigint"
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Per text whether its ending is unfinished by form, its last word and the keys of that; per batch how
+    often each word follows each key elsewhere than at a text's end, going on or ending there."""
+    lengths = len(LENGTHS)
+    kinds = [pa.binary(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in JUDGED.split(", ")]
+
+    def rows(columns: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    for batch in _small(batches, "text"):
         texts = batch.column("text").to_pylist()
-        cut = [endings.unfinished(t) for t in texts]
-        tails = [None if c else ambiguous_tail(t) for c, t in zip(cut, texts, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("digest"), pa.array(cut, pa.bool_()), pa.array([t and t[0] for t in tails], pa.int64()), pa.array([t and t[1] for t in tails], pa.string())],
-            ["digest", "cut", "key", "last"],
-        )
+        known: dict[str, int] = {}
+        row, word, keys, goes_on, last = _words([bare_end(t) for t in texts], known)
+        said = list(known)
+        tail: list = [None] * len(texts)
+        met: list = [None] * len(texts)
+        for r, w, k in zip(row[last].tolist(), word[last].tolist(), keys[:, last].T.view(np.int64).tolist(), strict=True):
+            tail[r], met[r] = said[w], k
+        yield rows({"digest": batch.column("digest"), "unfinished": [endings.unfinished(t) for t in texts], "last": tail, "keys": met}, len(texts))
+        inner = ~last
+        key = keys[:, inner].reshape(-1)
+        if not len(key):
+            continue
+        next_, goes = np.tile(word[inner], lengths), np.tile(goes_on[inner], lengths)
+        order = np.lexsort((next_, key))
+        key, next_, goes = key[order], next_[order], goes[order]
+        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (next_[1:] != next_[:-1])])
+        n = np.diff(np.r_[edge, len(key)])
+        g = np.add.reduceat(goes.astype(np.int64), edge)
+        yield rows({"key": key[edge].view(np.int64), "next": [said[w] for w in next_[edge].tolist()], "goes": g, "ends": n - g}, len(edge))
 
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +180,27 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
     return found.where("kind = 'prefix'").select("digest", F.col("text").alias("seam")).unionByName(after.select("digest", seam.alias("seam")))
 
 
+def continued(judged: DataFrame) -> DataFrame:
+    """(digest) of the texts among `judged` whose last words are a strict prefix of what stands elsewhere.
+
+    Of a last word and the words before it, `goes` counts where the corpus goes on after it or has a longer
+    word in its place, `ends` where a line or sentence ends with it, and the texts that end so themselves.
+    At either of LENGTHS the text is cut if the first is RARE times the others or more.
+    """
+    tails = judged.where("keys is not null").select("digest", "last", F.explode("keys").alias("key"))
+    tails = written(tails.withColumn("tail", F.xxhash64("key", "last")), "tails")
+    asked = tails.groupBy("tail", "key", "last").agg(F.count(F.lit(1)).alias("asks"))
+    table = judged.where("key is not null").groupBy("key", "next").agg(F.sum("goes").alias("goes"), F.sum("ends").alias("ends"))
+    met = asked.join(table, "key").where(F.startswith("next", "last"))
+    equal = F.col("next") == F.col("last")
+    counted = met.groupBy("tail", "asks").agg(F.sum(F.when(equal, F.col("goes")).otherwise(F.col("goes") + F.col("ends"))).alias("goes"), F.sum(F.when(equal, F.col("ends")).otherwise(0)).alias("ends"))
+    cut = written(counted.where((F.col("goes") > 0) & (F.col("goes") >= RARE * (F.col("ends") + F.col("asks")))).select("tail").distinct(), "cut")
+    return lookup_join(tails.select("digest", "tail"), cut, "tail").select("digest").distinct()
+
+
 def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, why) of each document whose text is cut: 'prefix', 'continued' or 'unfinished'.
+    """(doc_id, why) of each document whose text is cut: 'prefix' (the whole text begins a longer one),
+    'continued' (its last words are a strict prefix of what stands elsewhere), else 'unfinished' (by form only).
 
     Null, empty and blank texts are no case. Copies are judged once and all come out. A strict prefix of a
     longer text counts unless it ends with its sentence.
@@ -151,24 +208,16 @@ def truncated(documents: DataFrame) -> DataFrame:
     keyed = texts_of(documents).where(F.col("text").rlike(r"(?U)[^\s\p{Z}\p{C}]")).withColumn("digest", F.unhex(F.md5(F.col("text"))))
     members = written(keyed, "documents")
     texts = written(members.groupBy("digest").agg(F.min("text").alias("text")), "texts")
-    judged = written(texts.mapInArrow(_ends, "digest binary, cut boolean, key bigint, last string"), "judged")
+    judged = written(texts.mapInArrow(_ends, JUDGED), "judged")
     seam = F.col("seam")
     # the seam's last character follows the text elsewhere; at a line's end the ending itself decides
     inside = seam.rlike(r"(?U)[\w,;:=+*/({\[$\\%-] ?[^\n\r]\z") | seam.rlike(r"(?U)\d\.\d\z")
-    prefix = strict_prefixes(texts).where(inside).select("digest", F.lit("prefix").alias("why"))
-    tails = judged.where("key is not null").select("digest", "key", "last")
-    table = texts.mapInArrow(_continuations, "key bigint, next string, n bigint").groupBy("key", "next").agg(F.sum("n").alias("n"))
-    wanted = table.join(tails.select("key").distinct(), "key", "left_semi")
-    met = tails.select("key", "last").distinct().join(wanted, "key")
-    point = F.col("last").endswith("#.")
-    stem = F.when(point, F.expr("left(last, length(last) - 1)")).otherwise(F.col("last"))
-    exact = F.when(point, F.col("next") == F.col("last")).otherwise(F.regexp_replace("next", r"\W+$", "") == F.col("last"))
-    longer = ~exact & F.col("next").startswith(stem)
-    verdict = met.groupBy("key", "last").agg(F.sum(F.when(exact, F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(longer, F.col("n")).otherwise(0)).alias("more"))
-    # a ratio only, so that the verdict holds when all counts grow alike
-    name = "last rlike '^[A-Z].'"
-    cut = verdict.where(f"more >= if({name}, {RARE_NAME}, {RARE}) * same").select("key", "last")
-    continued = tails.join(cut, ["key", "last"]).select("digest", F.lit("continued").alias("why"))
-    unfinished = judged.where("cut").select("digest", F.lit("unfinished").alias("why"))
-    reasons = unfinished.unionByName(prefix).unionByName(continued).groupBy("digest").agg(F.max("why").alias("why"))
-    return lookup_join(members.select("doc_id", "digest"), reasons, "digest").select("doc_id", "why")
+    found = {"prefix": strict_prefixes(texts).where(inside), "continued": continued(judged), "unfinished": judged.where("unfinished")}
+    reasons = None
+    for place, why in enumerate(REASONS):
+        mine = found[why].select("digest", F.lit(place).alias("place"))
+        reasons = mine if reasons is None else reasons.unionByName(mine)
+    first = written(reasons.groupBy("digest").agg(F.min("place").alias("place")), "reasons")
+    release(texts)
+    names = F.array(*[F.lit(w) for w in REASONS])
+    return lookup_join(members.select("doc_id", "digest"), first, "digest").select("doc_id", F.get(names, F.col("place")).alias("why"))

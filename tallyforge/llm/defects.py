@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,10 @@ from .near_duplicates import user_content
 from ..sources.tables import latest_delivery
 
 # Answers that say there is none.
-PLACEHOLDERS = set(
-    "null none nil nan na n/a n.a. tbd todo undefined empty blank unknown missing no-answer noanswer no answer|not available|no response|no output|not applicable|to be done|answer|final answer|keine|keine antwort|sin respuesta|ninguna|pas de réponse|aucune|无|没有答案|нет ответа|нет".replace(" ", "|").split("|")
-) | {"no answer", "not available", "no response", "no output", "not applicable", "to be done", "final answer", "keine antwort", "sin respuesta", "pas de réponse", "нет ответа"}
-PLACEHOLDERS -= {"answer", "response", "output", "no", "not", "to", "be", "done", "final", "de", "pas", "available", "applicable", "антвет"}
+PLACEHOLDERS = {
+    "null", "none", "nil", "nan", "na", "n/a", "n.a", "tbd", "todo", "undefined", "empty", "blank", "unknown", "missing", "no-answer", "noanswer", "no answer", "not available", "no response", "no output",
+    "not applicable", "to be done", "answer", "final answer", "keine", "keine antwort", "sin respuesta", "ninguna", "ninguna respuesta", "pas de réponse", "aucune", "aucune réponse", "无", "没有答案", "нет", "нет ответа",
+}
 # Frequent words that tell a language; scripts tell the others.
 STOPWORDS = {
     "en": "the of and to in is that it for with as this by are from at be which we have has how many what he she they there then so into each all was were will after before than more their its an or on not no if every gives leaves follows therefore hence next now first since when while",
@@ -50,13 +49,19 @@ SPEAKER = re.compile(
     r"\b(?:i|me|my|you|your|sorry|apolog\w*|unfortunately|ich|mir|mich|mein\w*|sie|ihnen|dir|dich|leider|lo siento|puedo|prefiero|debo|lamento|je|j|moi|vous|désolée?|navrée?|peux|puis|préfère|regrette|я|вам|извините|могу|сожалению)\b|我|您|你|抱歉|对不起",
     re.I,
 )
-ANSWER = r"\b(?:answer|result|solution is|yes|no|true|false|antwort|ergebnis|ja|nein|respuesta|resultado|sí|réponse|résultat|oui|non)\b"
+# Clauses that name an answer, or that there is none to a question: terse replies in words, no refusals.
+ANSWER = (
+    r"(?U)\b(?:answer is|result is|solution is|yes|true|false|antwort ist|ergebnis ist|ja|nein|respuesta es|resultado es|sí|réponse est|résultat est|oui|non"
+    r"|there (?:is|are|was|were) no|(?:has|have|had) no|es gibt kein\w*|(?:hat|haben) kein\w*|no (?:hay|tiene|tienen)|il n['’]y a|n['’]a pas|нет)\b"
+)
 PERSON = (
     r"(?U)\b(?:i|i['’]m|i['’]d|i['’]ll|me|my|you|your|we|us|not|no|never|nothing|nobody|ich|mir|mich|dich|dir|du|sie|ihnen|nicht|kein\w*|nichts"
     r"|yo|mi|usted|tú|tu|ni|nada|ningun\w*|je|j['’]\w+|moi|mon|vous|ne|pas|aucun\w*|rien|не|я|вам)\b|我|不"
 )
 WORD = re.compile(r"[^\W_]+")
-HAN, CYRILLIC, LATIN = re.compile(r"[\u3400-\u9fff]"), re.compile(r"[\u0400-\u04ff]"), re.compile(r"[a-zA-Z\u00c0-\u024f]")
+HAN, CYRILLIC, LATIN = re.compile(r"[\u3400-\u9fff]+"), re.compile(r"[\u0400-\u04ff]+"), re.compile(r"[a-zA-Z\u00c0-\u024f]+")
+MARKUP = re.compile(r"```.*?(?:```|$)|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\\w+|https?://\S+", re.S)
+QUOTED = re.compile(r"[\"“„«][^\"”“»]{0,200}[\"”“»]")
 
 
 def nothing_said(text: str | None) -> bool:
@@ -71,15 +76,14 @@ def nothing_said(text: str | None) -> bool:
 
 def language(text: str) -> str | None:
     """en, de, es, fr, zh, ru (or another script's name) of most of the words, None if too few tell."""
-    prose = re.sub(r"```.*?(?:```|$)|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\\w+|https?://\S+", " ", text, flags=re.S)
-    prose = re.sub(r"[\"“„«][^\"”“»]{0,200}[\"”“»]", " ", prose)
-    han = len(HAN.findall(prose))
-    cyrillic = len(CYRILLIC.findall(prose))
-    latin = len(LATIN.findall(prose))
-    if han * 3 > latin and han >= 4 and han > cyrillic:
-        return "zh"
-    if cyrillic > latin and cyrillic >= 6:
-        return "ru"
+    prose = MARKUP.sub(" ", text)
+    prose = QUOTED.sub(" ", prose)
+    if not prose.isascii():
+        han, cyrillic, latin = (sum(map(len, kind.findall(prose))) for kind in (HAN, CYRILLIC, LATIN))
+        if han * 3 > latin and han >= 4 and han > cyrillic:
+            return "zh"
+        if cyrillic > latin and cyrillic >= 6:
+            return "ru"
     score = dict.fromkeys(STOPWORDS, 0)
     for word in WORD.findall(prose.lower()):
         for k in _LANGUAGES.get(word, ()):
@@ -97,25 +101,27 @@ for _k, _v in STOPWORDS.items():
         _LANGUAGES.setdefault(_w, []).append(_k)
 
 
-@lru_cache(1024)
-def _question(text: str) -> tuple[str | None, list[str], set]:
-    """Language, words and word runs of a question, which several responses share."""
+def question_facts(text: str) -> tuple[str | None, list[str], set, set]:
+    """Language, words, distinct words and word runs of a question, which several responses share."""
     words = WORD.findall(text.lower())
-    return language(text), words, _grams(words)
+    return language(text), words, set(words), _grams(words)
 
 
 def _grams(words: list[str]) -> set:
     return set(zip(words, words[1:], words[2:], strict=False))
 
 
-def copies_question(question: str, answer: str) -> bool:
-    """The question, whole or nearly, and nothing else of substance."""
-    _, q, gq = _question(question)
+def copies_question(facts: tuple, answer: str) -> bool:
+    """The question (its `question_facts`), whole or nearly, and nothing else of substance."""
+    _, q, known, gq = facts
     a = WORD.findall(answer.lower())
     if len(q) < 4 or len(a) < 4:
         return len(q) > 0 and q == a
+    # each word begins at most one run a place, so half of the runs need some of the words
+    if sum(map(q.count, known.intersection(a))) < 0.5 * len(gq):
+        return False
     ga = _grams(a)
-    both, known = len(gq & ga), set(q)
+    both = len(gq & ga)
     if both < 0.5 * len(gq):
         return False
     if both >= 0.85 * len(ga):
@@ -124,29 +130,41 @@ def copies_question(question: str, answer: str) -> bool:
     return both >= 0.6 * len(ga) and new <= max(6, 0.1 * len(a))
 
 
+CLAUSE_END = re.compile(
+    r"[.!?,;:。！？，；\n]+|\s+(?=(?:because|since|weil|porque|parce que|потому что|так как)\b)", re.I
+)
+CLAUSE_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+NAME = re.compile(r"[^\W\d_a-z][^\W\d_]{3,}")
+DIGIT = re.compile(r"\d")
+#: Words of a long clause that are clustered beside the whole one, so that endings put to a template don't hide it.
+OPENING = 6
+
+
 def no_working(text: str) -> bool:
     return not WORKING.search(text)
 
 
-def opening(text: str, bare: bool, most: int = 6) -> tuple[dict[str, bool], bool]:
-    """The first clauses of a response, each with whether it declines in words, and whether what follows them does.
+def opening(text: str, bare: bool, most: int = 6) -> list[tuple[str, bool, bool]]:
+    """(clause, whole, declines) of a response: clauses, and the first OPENING words of longer ones, each with
+    whether it is a whole clause and whether it declines in words.
 
-    Clauses have no digit and three words or more, or decline; lower case, names as n. Where a response isn't
-    bare, only its short clauses are searched for declining words.
+    Clauses have no digit and three words or more, or decline; lower case, names as n. All clauses of a bare
+    response are given; of others the first `most`, as they only tell which clauses go with a working, and
+    only their short clauses are searched for declining words.
     """
-    parts = re.split(r"[.!?,;:。！？，；\n]+", text, maxsplit=most)
-    head = len(text) - len(parts[most]) if len(parts) > most else len(text)
-    any_declines = bare and bool(DECLINE.search(text, 0, head))
-    out: dict[str, bool] = {}
-    for part in parts[:most]:
-        if re.search(r"\d", part):
+    parts = CLAUSE_END.split(text, maxsplit=0 if bare else most)
+    any_declines = bare and bool(DECLINE.search(text))
+    out: dict[str, tuple[bool, bool]] = {}
+    for part in parts if bare else parts[:most]:
+        if DIGIT.search(part):
             continue
-        words = ["n" if k and re.match(r"[^\W\d_a-z][^\W\d_]{3,}", w) else w.lower() for k, w in enumerate(re.findall(r"[^\W_]+(?:['’][^\W_]+)?", part))]
+        words = ["n" if k and NAME.match(w) else w.lower() for k, w in enumerate(CLAUSE_WORD.findall(part))]
         declines = (any_declines or (not bare and 0 < len(words) < 3)) and bool(DECLINE.search(part))
         if len(words) >= 3 or declines:
-            clause = " ".join(words)
-            out[clause] = out.get(clause, False) or declines
-    return out, bare and bool(DECLINE.search(text, head))
+            out[" ".join(words)] = (True, declines or out.get(" ".join(words), (True, False))[1])
+            if len(words) > OPENING:
+                out.setdefault(" ".join(words[:OPENING]), (False, False))
+    return [(clause, *v) for clause, v in out.items()]
 
 
 def declines_in_working(answer: str) -> bool:
@@ -155,16 +173,15 @@ def declines_in_working(answer: str) -> bool:
     return not DECLINE.search(answer, 0, at) and not SPEAKER.search(answer, at)
 
 
-def judge(question: str | None, answer: str | None) -> tuple[str | None, bool, str | None]:
+def judge(facts: tuple | None, answer: str | None) -> tuple[str | None, bool, str | None]:
     """(sure, bare, otherwise): a defect that needs no templates, whether the response shows no working, and
-    the defect it has if it is no refusal."""
+    the defect it has if it is no refusal. `facts` are the question's `question_facts`, None without one."""
     if nothing_said(answer):
         return "empty", False, None
-    question = question or ""
-    if question and copies_question(question, answer):
+    if facts and copies_question(facts, answer):
         return "copy", False, None
     bare = no_working(answer)
-    asked = _question(question)[0]
+    asked = facts[0] if facts else None
     said = language(answer) if asked else None
     if asked and said and asked != said:
         return None, bare, "other_language"
@@ -174,28 +191,39 @@ def judge(question: str | None, answer: str | None) -> tuple[str | None, bool, s
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per value its judgement; per batch the clauses of openings with their counts (rows of `clause`).
 
-    `own` counts the declining clauses of a bare opening, `beyond` says that declining words follow it; both
-    are empty where they belong to a working that is cut.
+    `said` holds the clauses of a bare response: `own` numbers the declining ones and is -1 on others, the
+    words at the start of a long clause bear its number. It is empty of numbers where the declining words
+    belong to a working that is cut.
     """
     import xxhash
 
-    kinds = [("id", pa.string()), ("field_name", pa.string()), ("sure", pa.string()), ("bare", pa.bool_()), ("own", pa.int32()), ("beyond", pa.bool_()), ("otherwise", pa.string()), ("clauses", pa.list_(pa.string())), ("declining", pa.list_(pa.string()))]
+    said_kind = pa.list_(pa.struct([("clause", pa.string()), ("own", pa.int32())]))
+    kinds = [("id", pa.string()), ("field_name", pa.string()), ("sure", pa.string()), ("bare", pa.bool_()), ("n_own", pa.int32()), ("otherwise", pa.string()), ("said", said_kind)]
     counts = [("clause", pa.string()), ("n", pa.int64()), ("n_bare", pa.int64()), ("n_declines", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
     k_kinds = len(kinds)
     for batch in batches:
         rows: list[tuple] = []
         seen: dict[str, list[int]] = {}
+        asked: tuple = (None, None)
         for id_, field, question, answer in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            sure, bare, otherwise = judge(question, answer)
-            clauses, beyond = ({}, False) if sure else opening(answer, bare)
-            declining = [c for c, d in clauses.items() if d] if bare else []
-            declines = bool(declining or beyond)
-            if declines and otherwise == "truncated" and declines_in_working(answer):
-                declining, beyond, declines = [], False, False
+            if question != asked[0]:  # the responses to a question follow each other
+                asked = (question, question_facts(question) if question else None)
+            sure, bare, otherwise = judge(asked[1], answer)
+            clauses = [] if sure else opening(answer, bare)
+            declines = bare and any(c[2] for c in clauses)
+            belongs = declines and otherwise == "truncated" and declines_in_working(answer)
+            if belongs:
+                declines = False
             if sure or bare or otherwise:
-                rows.append((id_, field, sure, bare, len(declining), beyond, otherwise, list(clauses) if bare else [], declining))
+                said, number, n_own = [], -1, 0
+                for clause, whole, own in clauses if bare else []:
+                    if whole:
+                        number = n_own if own and declines else -1
+                        n_own += number >= 0
+                    said.append({"clause": clause, "own": number})
+                rows.append((id_, field, sure, bare, n_own, otherwise, said))
             at = xxhash.xxh3_64_intdigest(question or "") >> 1
-            for clause in clauses:
+            for clause, _, _ in clauses:
                 c = seen.setdefault(clause, [0, 0, 0, at, at])
                 c[0] += 1
                 c[1] += bare
@@ -208,7 +236,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, kinds + counts, strict=True)], [n for n, _ in kinds + counts])
 
 
-JUDGED = "id string, field_name string, sure string, bare boolean, own int, beyond boolean, otherwise string, clauses array<string>, declining array<string>, clause string, n bigint, n_bare bigint, n_declines bigint, low bigint, high bigint"
+JUDGED = "id string, field_name string, sure string, bare boolean, n_own int, otherwise string, said array<struct<clause:string,own:int>>, clause string, n bigint, n_bare bigint, n_declines bigint, low bigint, high bigint"
 BANDS, ROWS, RUN = 12, 2, 5
 #: Rows of a band that are compared at once.
 CHUNK = 1024
@@ -255,15 +283,20 @@ def clause_clusters(clauses: DataFrame) -> DataFrame:
     heads = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("rid", "band").alias("h"), "rid")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     a = clauses.select(F.col("rid").alias("a"), F.col("clause").alias("clause_a"))
     b = clauses.select(F.col("rid").alias("b"), F.col("clause").alias("clause_b"))
-    verified = lambda pairs: pairs.join(a, "a").join(b, "b").mapInArrow(_verified, "a bigint, b bigint")
-    stars = banded.join(heads, "band").select(F.col("rid").alias("a"), F.col("head.rid").alias("b")).where("a <> b").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """b may stand in a third of all pairs; pairs is written, so that hot ones are found first."""
+        return lookup_join(written(pairs, "pairs"), b, "b").join(a, "a").select("a", "b", "clause_a", "clause_b").mapInArrow(_verified, "a bigint, b bigint")
+
+    heads = written(heads, "heads")
+    stars = lookup_join(banded, heads, "band").select(F.col("rid").alias("a"), F.col("head.rid").alias("b")).where("a <> b").distinct()
     links = written(verified(stars), "links")
     tied = components(links).select(F.col("node").alias("rid"), F.col("component").alias("label"))
-    marked = written(banded.join(heads.select("band"), "band").join(tied, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "marked")
+    marked = written(lookup_join(banded, heads.select("band"), "band").join(tied, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "marked")
     groups = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
     plan = groups.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("n"))
     plan = plan.where("n > main.m").select("band", "main.label", F.ceil(F.col("n") / CHUNK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("main.m")) / CHUNK).cast("int").alias("open"))
-    placed = marked.join(plan.withColumnRenamed("label", "main"), "band")
+    placed = lookup_join(marked, written(plan.withColumnRenamed("label", "main"), "plan"), "band")
     chunk = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     opened = placed.where("label <> main").select("band", F.col("rid").alias("a"), F.col("label").alias("of_a"), chunk("open").alias("i"), each("all").alias("j"))
@@ -285,12 +318,12 @@ def clause_verdicts(counts: DataFrame) -> DataFrame:
     """
     total = counts.groupBy("clause").agg(*[F.sum(c).alias(c) for c in ("n", "n_bare", "n_declines")], F.min("low").alias("low"), F.max("high").alias("high"))
     clauses = written(total.withColumn("rid", F.monotonically_increasing_id()), "clauses")
-    joined = clauses.join(clause_clusters(clauses), "rid")
+    joined = written(clauses.join(clause_clusters(clauses), "rid"), "clustered")
     clusters = joined.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "n_bare", "n_declines")], F.min("low").alias("low"), F.max("high").alias("high"))
     recurring = clusters.where("n >= 3 and low <> high").select("cluster", (F.col("n_bare") >= 0.9 * F.col("n")).alias("unworked"), (F.col("n_declines") >= 0.1 * F.col("n")).alias("declined"))
     full = (F.size(F.split("clause", " ")) >= 4) & F.col("clause").rlike(PERSON) & ~F.col("clause").rlike(ANSWER)
     refuses = F.col("unworked") & (F.col("declined") | full)
-    found = joined.join(recurring, "cluster").select("clause", "n_declines", refuses.alias("refuses"))
+    found = lookup_join(joined, written(recurring, "recurring"), "cluster").select("clause", "n_declines", refuses.alias("refuses"))
     return written(found.where("refuses or n_declines > 0").select("clause", "refuses"), "verdicts")
 
 
@@ -311,17 +344,19 @@ def values(dpo: DataFrame, sft: DataFrame) -> DataFrame:
 
 
 def defects(given: DataFrame) -> DataFrame:
-    """(id, field_name, defect) of each defective value of `given` (id, field_name, question, answer).
+    """(id, field_name, defect, evidence) of each defective value of `given` (id, field_name, question, answer).
 
-    Clusters decide on refusals. Declining words do so alone only in clauses that never recur across prompts
-    and behind the opening. Null and blank answers are 'empty'. Without a question nothing is a copy or in
-    another language.
+    Clusters decide on refusals (evidence 'template'). Declining words do so alone ('words') only in clauses
+    of a bare response that never recur across prompts. Null and blank answers are 'empty'. Without a question
+    nothing is a copy or in another language. All other defects have the evidence 'check'.
     """
     judged = written(given.select("id", "field_name", "question", "answer").mapInArrow(_judged, JUDGED), "judged")
     rows = judged.where("id is not null")
     verdicts = clause_verdicts(judged.where("clause is not null").select("clause", "n", "n_bare", "n_declines", "low", "high"))
-    asked = written(rows.where("bare").select("id", "field_name", "declining", F.explode("clauses").alias("clause")).withColumn("declining", F.array_contains("declining", F.col("clause"))), "asked")
-    met = lookup_join(asked, verdicts, "clause").groupBy("id", "field_name").agg(F.max("refuses").alias("template"), F.sum(F.col("declining").cast("int")).alias("settled"))
-    alone = F.col("beyond") | (F.col("own") > F.coalesce("settled", F.lit(0)))
-    defect = F.coalesce("sure", F.when(F.col("template") | alone, "refusal"), "otherwise")
-    return rows.join(met, ["id", "field_name"], "left").select("id", "field_name", defect.alias("defect")).where("defect is not null")
+    asked = written(rows.where("bare").select("id", "field_name", F.explode("said").alias("s")).select("id", "field_name", "s.clause", "s.own"), "asked")
+    settled = F.count_distinct(F.when(F.col("own") >= 0, F.col("own")))
+    met = lookup_join(asked, verdicts, "clause").groupBy("id", "field_name").agg(F.max("refuses").alias("template"), settled.alias("settled"))
+    alone = F.col("n_own") > F.coalesce("settled", F.lit(0))
+    evidence = F.when(F.col("sure").isNotNull(), "check").when(F.col("template"), "template").when(alone, "words").otherwise("check")
+    defect = F.when(evidence == "check", F.coalesce("sure", "otherwise")).otherwise("refusal")
+    return rows.join(met, ["id", "field_name"], "left").select("id", "field_name", defect.alias("defect"), evidence.alias("evidence")).where("defect is not null")

@@ -94,12 +94,16 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _defects(spark, folder).select("id", "field_name", "defect")
+
+
+def _defects(spark: SparkSession, folder: str) -> DataFrame:
     return defects.defects(defects.values(read_table(spark, folder, "dpo_rows"), read_table(spark, folder, "sft_rows")))
 
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Values per field and defect."""
-    return p4_found(spark, folder).groupBy("field_name", "defect").agg(F.count(F.lit(1)).alias("values"))
+    """Values per field, defect and what it was found by (templates, words or the other checks)."""
+    return _defects(spark, folder).groupBy("field_name", "defect", "evidence").agg(F.count(F.lit(1)).alias("values"))
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -72,7 +72,29 @@ def test_clusters_lose_no_pair_of_a_band(spark, monkeypatch):
 
 def test_clauses_are_whole():
     text = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(60))
-    assert list(defects.opening(text, True)[0]) == [text]
+    assert [clause for clause, whole, _ in defects.opening(text, True) if whole] == [text]
+
+
+def test_templates_decide_without_declining_words(spark, monkeypatch):
+    """With the list of declining words switched off, nine of ten refusals still come from their templates."""
+    import re
+
+    monkeypatch.setattr(defects, "DECLINE", re.compile("(?!)"))
+    rng = random.Random(4)
+    heads = ["Sorry", "With respect", "Thanks for asking", "Hm"]
+    bodies = ["I would rather not answer this one", "this goes against the rules I follow", "my remit does not reach that far", "I leave this to other people"]
+    tails = ["", " because the topic is closed", " at this time", ". Please ask a teacher"]
+    said = [(f"t{i}", f"{QUESTION} {i}", f"{rng.choice(heads)}, {rng.choice(bodies)}{rng.choice(tails)}.", True) for i in range(120)]
+    said += [(f"w{i}", f"{QUESTION} {i}", SOLVED, False) for i in range(120)] + [(f"n{i}", f"{QUESTION} {i}", "There is no solution to this equation.", False) for i in range(12)]
+    rows = spark.createDataFrame([(i, "completion", q, a) for i, q, a, _ in said], "id string, field_name string, question string, answer string")
+    got = {r.id: r.evidence for r in defects.defects(rows).where("defect = 'refusal'").collect()}
+    true = {i for i, *_, refusal in said if refusal}
+    assert set(got) <= true and set(got.values()) == {"template"} and len(got) >= 0.9 * len(true)
+
+
+@pytest.mark.parametrize("text", ["sin", "\\boxed{\\sin}", "respuesta", "réponse", "ответа"])
+def test_words_that_are_no_placeholders(text):
+    assert not defects.nothing_said(text)
 
 
 COMPLETE = [
@@ -98,6 +120,11 @@ def test_complete_endings(text):
     assert not endings.unfinished(text if not text or text[0] in "|`" else "A sentence before.\n" + text)
 
 
+@pytest.mark.parametrize("text", ["Viele Grüße, Anna", "Cordialement, Marie", "Saludos, María", "С уважением, Анна", "Sincerely, Tom", "Thanks,\nTom Smith", "Mit freundlichen Grüßen\nAnna Weber", "此致\n敬礼", "End of part 6"])
+def test_closings_of_all_languages(text):
+    assert not endings.unfinished("It holds for 60 of them.\n" + text)
+
+
 @pytest.mark.parametrize("text", CUT)
 def test_cut_endings(text):
     assert endings.unfinished("A sentence before.\n" + text)
@@ -123,6 +150,17 @@ def test_lookup_of_ends_is_independent_of_size(spark, more, cut):
         assert got == (set(range(more * times, len(texts))) if cut else set())
 
 
+def test_prefixes_of_sentences_find_planted_cuts(spark):
+    """Copies of a sentence's start are found by what stands elsewhere, whatever the form says of the ending."""
+    rng = random.Random(6)
+    names = ["Mara", "Tomas", "Ilse", "Juri", "Nadja"]
+    whole = [f"Lot {i} is ready. On Monday {rng.choice(names)} brings {i} jars to the old mill near the lake." for i in range(400)]
+    cuts = ["brings 7 jars to the old mi", "brings 8 jars to", "brings 9 jars to the old mill near the"]
+    texts = whole + [f"Lot {i} is ready. On Monday {n} {c}" for i, (n, c) in enumerate(zip(names, cuts, strict=False))] + ["Lot 5 is ready.\nViele Grüße, Mara"]
+    got = {r.doc_id: r.why for r in truncation.truncated(documents(spark, texts)).collect()}
+    assert got == {400: "continued", 401: "continued", 402: "continued"}
+
+
 @pytest.mark.parametrize("parts", [1, 8])
 def test_strict_prefixes_equal_brute_force(spark, parts):
     rng = random.Random(2)

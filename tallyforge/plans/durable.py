@@ -14,9 +14,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset and all tasks run in the driver's own process
+    (tests), a folder of our own. On a cluster such a folder would be one per machine, so that raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         app = spark.sparkContext.applicationId
         folder = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="tallyforge-")
         _LOCAL[app] = folder

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..plans.durable import release, written
 
 
@@ -45,19 +46,24 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: each greater neighbour of a node is tied to the node's least neighbour
-        large = now.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least.withColumnRenamed("a", "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        # large star: each greater neighbour of a node is tied to the node's least neighbour; once stars have
+        # formed, a component's edges share one node
+        large = lookup_join(now.select(F.col("b").alias("u"), F.col("a").alias("v")), least.withColumnRenamed("a", "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         # small star: what a node leads to is tied to the least of it
-        down = large.where("a <> b").distinct()
+        down = written(large.where("a <> b").distinct(), "down")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = lookup_join(down, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         after = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
         release(now)
+        release(down)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
     roots = nodes.select(F.col("a").alias("node")).unionByName(nodes.select(F.col("b").alias("node"))).distinct()
-    return written(roots.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component")), "components")
+    found = written(roots.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component")), "components")
+    release(nodes)
+    release(now)
+    return found
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -1,8 +1,9 @@
 """Problem 2: records that differ only in formatting, collapsed and counted.
 
-Recursive radix partitioning on canonical bytes: rows go to buckets by the first bytes of their
-canonical form; a bucket beyond `bucket_rows` or `bucket_bytes` is split by further bytes until each
-fits or holds one value only. Inside each bucket a trie with counters at its ends merges the counts.
+Recursive radix partitioning on canonical bytes: equal rows of a task are combined in a trie with counters at
+its ends; what is left goes to buckets by the first bytes of its canonical form; a bucket beyond `bucket_rows`
+or `bucket_bytes` is split by further bytes until each fits or holds one value only. Inside each bucket another
+such trie merges the counts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import written
+from ..operators.skew import lookup_join
+from ..plans.durable import release, written
 
 # Fixed values of the task: tokens of a canonical text. Numbers keep a point between two digits;
 # the signs + - * / = < > ^ % count; everything else separates.
@@ -52,7 +54,8 @@ def copy_groups(
     """(records, groups): records are (digest, key), groups (digest, kept_key, copies) of each value.
 
     `kept_key` is the smallest key, `copies` the number of records. Null canonical forms are left out.
-    Both are written tables. A value that a third of all rows share is combined before the shuffle.
+    Both are written tables. A value that a third of all rows share is combined before it is shuffled, and
+    after the shuffle a task holds one bucket at a time.
     """
     # two columns only, so names of the input can't clash
     table = written(
@@ -61,46 +64,56 @@ def copy_groups(
         ),
         "canonical",
     )
-    bucketed = assign_buckets(table.select("canon", "key"), bucket_rows, bucket_bytes)
-    schema = "bucket binary, canon binary, key bigint, n bigint"
-    combined = bucketed.select("bucket", "canon", "key", F.lit(1).cast("bigint").alias("n")).mapInArrow(_combine, schema)
-    merged = combined.repartition(F.col("bucket")).mapInArrow(_combine_all, schema)
+    counted = written(table.select(F.lit(b"").alias("bucket"), "canon", "key", F.lit(1).cast("bigint").alias("n")).mapInArrow(_combine, COUNTED).select("canon", "key", "n"), "combined")
+    bucketed = assign_buckets(counted, bucket_rows, bucket_bytes)
+    ordered = bucketed.select("bucket", "canon", "key", "n").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    merged = ordered.mapInArrow(_combine_buckets, COUNTED)
     groups = written(merged.select(F.unhex(F.md5("canon")).alias("digest"), F.col("key").alias("kept_key"), F.col("n").alias("copies")), "groups")
+    release(counted)
     return table.select("digest", "key"), groups
 
 
+COUNTED = "bucket binary, canon binary, key bigint, n bigint"
+#: Parts of a plan's rows, so that a bucket with a third of all rows is planned by as many tasks.
+SALTS = 32
+
+
 def assign_buckets(rows: DataFrame, bucket_rows: int, bucket_bytes: int) -> DataFrame:
-    """`rows` (canon, key) with the radix bucket of each: the shortest prefix whose bucket fits.
+    """`rows` (canon, ...), a written table, with the radix bucket of each: a prefix whose bucket fits or holds
+    one value only.
 
-    The driver sees one count per child of an oversized bucket: at most 256 x rows / bucket_rows.
+    Each round measures the open buckets, and those beyond the bounds are split by further bytes: past the
+    bytes that all their values share, one for every factor of eight by which they are too large, so a few
+    rounds do. What is to be split stands in a written table (bucket, depth), which Spark broadcasts while it
+    is small; beyond that its rows are repeated SALTS times and joined by shuffle. The driver sees no bucket.
     """
-    spark = rows.sparkSession
-    rows = rows.withColumn("bucket", F.substring("canon", 1, 1))
-    open_level = rows
+    rows = rows.withColumn("bucket", F.substring("canon", 1, 1)).withColumn("_salt", F.pmod(F.xxhash64("canon"), F.lit(SALTS)).cast("int"))
+    open_level = rows.select("canon", "bucket", "_salt")
     while True:
         stats = (
             open_level.groupBy("bucket")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("canon")).alias("size"), F.min("canon").alias("low"), F.max("canon").alias("high"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("canon").cast("bigint")).alias("size"), F.min("canon").alias("low"), F.max("canon").alias("high"))
             .where((F.col("n") > bucket_rows) | (F.col("size") > bucket_bytes))
             .where(F.col("low") != F.col("high"))
-            .select("bucket", "low", "high")
         )
-        split = [(bytes(b), _shared(bytes(low), bytes(high)) + 1) for b, low, high in stats.toLocalIterator()]
-        if not split:
-            return rows
-        plan = F.broadcast(spark.createDataFrame([(bytearray(b), d) for b, d in split], "bucket binary, depth int"))
-        deeper = F.coalesce(F.substring(F.col("canon"), F.lit(1), F.col("depth")), F.col("bucket"))
-        rows = rows.join(plan, "bucket", "left").select("canon", "key", deeper.alias("bucket"))
-        open_level = open_level.join(plan, "bucket").select("canon", "key", F.substring(F.col("canon"), F.lit(1), F.col("depth")).alias("bucket"))
-
-
-def _shared(a: bytes, b: bytes) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+        factor = F.greatest(F.col("n") / bucket_rows, F.col("size") / bucket_bytes)
+        more = F.greatest(F.lit(1), F.ceil(F.log2(factor) / 3).cast("int"))
+        plan = written(stats.select("bucket", (_shared("low", "high") + more).alias("depth")), "plan")
+        if plan.isEmpty():
+            return rows.drop("_salt")
+        salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        deeper = F.substring(F.col("canon"), F.lit(1), F.col("depth"))
+        rows = rows.join(salted, ["bucket", "_salt"], "left").withColumn("bucket", F.coalesce(deeper, F.col("bucket"))).drop("depth")
+        open_level = open_level.join(salted, ["bucket", "_salt"]).select("canon", deeper.alias("bucket"), "_salt")
+
+
+def _shared(low: str, high: str) -> Column:
+    """How many bytes two different binary columns have in common at their start."""
+    a, b = F.hex(F.col(low)), F.hex(F.col(high))
+    # by halving: the greatest length at which the prefixes are equal
+    step = lambda n, _: F.when(F.substring(a, F.lit(1), 2 * ((n["lo"] + n["hi"] + 1) / 2).cast("int")) == F.substring(b, F.lit(1), 2 * ((n["lo"] + n["hi"] + 1) / 2).cast("int")), F.struct(((n["lo"] + n["hi"] + 1) / 2).cast("int").alias("lo"), n["hi"].alias("hi"))).otherwise(F.struct(n["lo"].alias("lo"), (((n["lo"] + n["hi"] + 1) / 2).cast("int") - 1).alias("hi")))
+    start = F.struct(F.lit(0).alias("lo"), F.least(F.length(F.col(low)), F.length(F.col(high))).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step)["lo"]
 
 
 class CountingTrie:
@@ -150,45 +163,49 @@ def _emit(tries: dict[bytes, CountingTrie]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "canon", "key", "n"])
 
 
-def _tries(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    tries: dict[bytes, CountingTrie] = {}
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Before the shuffle: counts of equal values are combined; what is held stays below 32 MB of values."""
+    trie = CountingTrie()
     held = 0
     for batch in batches:
-        for bucket, value, key, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            trie = tries.get(bucket)
-            if trie is None:
-                trie = tries[bucket] = CountingTrie()
+        for value, key, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             before = trie.size
             trie.add(value, key, n)
-            held += (trie.size - before) * len(value)
-            if most and held > most:
-                yield _emit(tries)
-                tries, held = {}, 0
-    if tries:
-        yield _emit(tries)
-
-
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Before the shuffle: counts of equal values are combined; what is held stays below 32 MB."""
-    yield from _tries(batches, 32 << 20)
-
-
-def _combine_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After it: the buckets of a task, each of which fits, are counted to the end."""
-    yield from _tries(batches, None)
+            held += (trie.size - before) * (len(value) + 200)
+            if held > 32 << 20:
+                yield _emit({b"": trie})
+                trie, held = CountingTrie(), 0
+    if trie.size:
+        yield _emit({b"": trie})
+
+
+def _combine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """After it: rows come in the order of buckets, and each bucket, which fits, is emitted when it ends."""
+    bucket: bytes | None = None
+    trie = CountingTrie()
+    done: dict[bytes, CountingTrie] = {}
+    rows = 0
+    for batch in batches:
+        for b, value, key, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if b != bucket:
+                if trie.size:
+                    done[bucket] = trie
+                    rows += trie.size
+                    if rows >= 4096:  # small buckets go out together
+                        yield _emit(done)
+                        done, rows = {}, 0
+                bucket, trie = b, CountingTrie()
+            trie.add(value, key, n)
+    if trie.size:
+        done[bucket] = trie
+    if done:
+        yield _emit(done)
 
 
-def copies_of(records: DataFrame, groups: DataFrame, most_hot: int = 1000) -> DataFrame:
-    """(kept_key, copy_key): one row per record beyond the kept one of its group.
+def copies_of(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """(kept_key, copy_key): one row per record beyond the kept one of its group; keys are those of records.
 
-    Groups that hold over 1/most_hot of the records, `most_hot` at most, are broadcast so that no task
-    gets a whole one; all others are joined by shuffle.
+    A record whose key comes twice is one record. No task gets a whole group that is hot (`lookup_join`).
     """
-    groups = groups.where("copies > 1")
-    hot = max(1000, records.count() // most_hot)
-    parts = [
-        records.join(F.broadcast(groups.where(F.col("copies") > hot)), "digest"),
-        records.join(groups.where(F.col("copies") <= hot), "digest"),
-    ]
-    pairs = [p.where("key <> kept_key").select("kept_key", F.col("key").alias("copy_key")) for p in parts]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    pairs = lookup_join(records, groups.where("copies > 1").select("digest", "kept_key"), "digest")
+    return pairs.where("key <> kept_key").select("kept_key", F.col("key").alias("copy_key")).distinct()

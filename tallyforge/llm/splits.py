@@ -49,13 +49,15 @@ def related(rows: DataFrame) -> DataFrame:
     an index below 0 is unknown.
     """
     known = F.when(F.col("row_index") >= 0, F.concat(F.lit("i"), F.col("row_index").cast("string")))
+    # nodes are 16 bytes each, whatever they name
+    short = lambda text: F.unhex(F.md5(text))
     keyed = rows.withColumns(
         {
-            "_s": F.concat(F.lit("h"), F.col("source")),
-            "_h": F.concat(F.lit("h"), F.col("sha")),
-            "_i": known,
+            "_s": short(F.concat(F.lit("h"), F.col("source"))),
+            "_h": short(F.concat(F.lit("h"), F.col("sha"))),
+            "_i": short(known),
         }
-    ).withColumn("anchor", F.coalesce("_s", "_h", "_i", F.concat(F.lit("r"), F.col("id"))))
+    ).withColumn("anchor", F.coalesce("_s", "_h", "_i", short(F.concat(F.lit("r"), F.col("id")))))
     keyed = written(keyed, "keyed")
     edges = keyed.select(F.col("anchor").alias("a"), F.explode(F.array_distinct(F.array_compact(F.array("anchor", "_h", "_i")))).alias("b"))
     edges = edges.distinct()  # combined map-side: a source with a third of the rows gives few edges
@@ -81,44 +83,46 @@ def spread_groups(rows: DataFrame) -> DataFrame:
     return lookup_join(rows.select("id", "group"), spread, "group").select("id", "group_id")
 
 
-SINGLE = 20_000
-
-
 def balanced_bins(weights: Iterable[tuple[int, int]], bins: int) -> tuple[dict[int, list[int]], list[int]]:
     """Largest differencing over (weight, how many components have it): (extra, load).
 
-    Of a weight's components, every `bins` fill all bins alike and differ by nothing; each of the rest is a
-    state of `bins` slots, from the heaviest on, and beyond SINGLE states the rest of a weight is one state.
-    The two states of the greatest difference are combined again and again, the fullest slots of one with
-    the emptiest of the other. extra[weight] lists the bins that get one of the rest each; load is each
-    bin's sum. Distinct weights number at most the root of twice the rows.
+    Of a weight's components, every `bins` fill all bins alike and differ by nothing. Each of the rest is a
+    state of `bins` slots. The two states of the greatest difference are combined again and again, the fullest
+    slots of one with the emptiest of the other. extra[weight] lists the bins that get one of the rest each;
+    load is each bin's sum. Single states of one weight are alike and stand in the heap as one entry with
+    their number; there are at most the root of 2 x bins x rows of them, whatever the weights.
     """
     base = 0
-    heap: list[tuple[int, int, np.ndarray, list]] = []
+    heap: list[tuple] = []
     for k, (weight, n) in enumerate(sorted(weights, reverse=True)):
         base += weight * (n // bins)
-        rest = n % bins
-        alone = rest if len(heap) + rest <= SINGLE else min(rest, 1)
-        for i in range(alone):
-            size = 1 if alone == rest else rest
-            load = np.zeros(bins, dtype=np.int64)
-            load[:size] = weight
-            heap.append((-weight, k * bins + i, load, [(weight,) if j < size else () for j in range(bins)]))
+        if n % bins:
+            heap.append((-weight, k, n % bins, None, None))
     heapq.heapify(heap)
-    serial = 1 << 60
-    while len(heap) > 1:
-        _, _, a, held_a = heapq.heappop(heap)
-        _, _, b, held_b = heapq.heappop(heap)
+    serial = len(heap)
+
+    def greatest() -> tuple[np.ndarray, list]:
+        diff, k, n, load, held = heapq.heappop(heap)
+        if load is not None:
+            return load, held
+        if n > 1:
+            heapq.heappush(heap, (diff, k, n - 1, None, None))
+        load = np.zeros(bins, dtype=np.int64)
+        load[0] = -diff
+        return load, [(-diff,), *[()] * (bins - 1)]
+
+    while len(heap) > 1 or heap and heap[0][2] > 1:
+        (a, held_a), (b, held_b) = greatest(), greatest()
         down, up = np.argsort(-a, kind="stable"), np.argsort(b, kind="stable")
         load = a[down] + b[up]
         # slots hold nested pairs, so nothing is copied
         held = [(held_a[i], held_b[j]) if held_a[i] and held_b[j] else held_a[i] or held_b[j] for i, j in zip(down.tolist(), up.tolist(), strict=True)]
         serial += 1
-        heapq.heappush(heap, (-int(load.max() - load.min()), serial, load, held))
+        heapq.heappush(heap, (-int(load.max() - load.min()), serial, 1, load, held))
     extra: dict[int, list[int]] = {}
     if not heap:
         return extra, [base] * bins
-    _, _, load, held = heap[0]
+    load, held = greatest()
     for bin_, slot in enumerate(held):
         todo = [slot]
         while todo:
@@ -161,5 +165,5 @@ def assign_splits(rows: DataFrame, targets: DataFrame, bins: int = 100) -> DataF
     names = F.array(*[F.lit(s) for s in split_of])
     ranked = bucketed_rank(weights, F.pmod(F.xxhash64("group"), F.lit(256)), [F.col("group")], ("weight",))
     place = F.when(F.col("rank") < F.col("even"), F.pmod("rank", F.lit(bins))).otherwise(F.get(F.col("extra"), (F.col("rank") - F.col("even")).cast("int")))
-    binned = ranked.join(plan, "weight").withColumn("bin", place.cast("int")).select("group", "group_id", "bin", F.get(names, F.col("bin")).alias("split"))
+    binned = ranked.join(F.broadcast(plan), "weight").withColumn("bin", place.cast("int")).select("group", "group_id", "bin", F.get(names, F.col("bin")).alias("split"))
     return lookup_join(rows.select("id", "group"), binned, "group").select("id", "group_id", "bin", "split")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup_join
+from ..operators.skew import expanding_join, lookup_join
 from ..plans.durable import written
 from ..sources.tables import latest_delivery
 from .components import components
-from .similar import plain_words, similar_pairs
+from .similar import SIMILARITY, contained_pairs, plain_words, similar_pairs
 from .splits import plain_split
 
 
@@ -41,18 +41,18 @@ def groups(rows: DataFrame) -> DataFrame:
     equal ones only.
     """
     members, sets = distinct_texts(rows)
-    links = similar_pairs(sets, two_sided=False, apart=True)
+    links = similar_pairs(sets, apart=True)
     found = components(links.select("a", "b"))
     placed = sets.select("rid", "digest").join(found.withColumnRenamed("node", "rid"), "rid", "left").select("digest", F.coalesce("component", "rid").alias("group"))
     return written(lookup_join(members, placed, "digest").select("id", "side", "group"), "groups")
 
 
 def pairs_in_groups(grouped: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of all rows that share a group, as the result is defined."""
-    several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    rows = grouped.join(several, "group", "left_semi").select("group", "id")
-    a, b = rows.withColumnRenamed("id", "id_a"), rows.withColumnRenamed("id", "id_b")
-    return a.join(b, "group").where("id_a < id_b").select("id_a", "id_b")
+    """(id_a, id_b), id_a < id_b, of all rows that share a group, as the result is defined; `grouped` is written.
+
+    `groups` has the same in one row per row; a group with a third of all rows is met in parts."""
+    a, b = (grouped.select("group", F.col("id").alias(name)) for name in ("id_a", "id_b"))
+    return expanding_join(a, b, "group").where("id_a < id_b").select("id_a", "id_b")
 
 
 def table_rows(sft: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -71,30 +71,36 @@ def split_rows(sft: DataFrame, evaluation: DataFrame) -> DataFrame:
     return first.unionByName(worded(evaluation, F.col("problem"), F.lit(1), held))
 
 
-def overlaps(rows: DataFrame) -> DataFrame:
-    """(train_id, held_id, held_split, held_dataset, similarity, containment) of each directly linked pair.
+#: Share of a held-out text's runs that makes it contained in a training text, however long that is.
+CONTAINED = (4, 5)
+
+
+def overlaps(rows: DataFrame, contained: tuple[int, int] = CONTAINED) -> DataFrame:
+    """(train_id, held_id, held_split, held_dataset, similarity, containment, linked) of each pair of a training
+    and a held-out row that is linked by similarity (Jaccard, 0.6) or of which the training text contains the
+    share `contained` of the held-out text's runs or more; `linked` tells the former.
 
-    Only pairs linked by similarity (Jaccard, 0.6) are reported; containment (share of the held-out runs found
-    in the training text) is a column of theirs. A held-out text that stands whole in a much longer training
-    text is below that similarity and doesn't come out. Equal
-    texts of fewer than three words count as similar too.
+    Equal texts of fewer than three words have similarity and containment 1. Texts without a word match nothing.
     """
     members, sets = distinct_texts(rows)
-    linked = similar_pairs(sets, two_sided=True)
+    found = contained_pairs(sets, SIMILARITY, contained)
     short = F.size(F.split("words", " ")) < 3
     one = F.lit(1).cast("bigint")
     train = sets.where((F.col("side") == 0) & short).select(F.col("rid").alias("a"), "words")
     held = sets.where((F.col("side") == 1) & short).select(F.col("rid").alias("b"), "words")
     equal = train.join(held, "words").select("a", "b", one.alias("shared"), one.alias("runs_a"), one.alias("runs_b"))
-    pairs = linked.unionByName(equal)
-    names = members.join(sets.select("digest", "rid"), "digest").select("rid", "id", "split", "dataset")
-    a = names.select(F.col("rid").alias("a"), F.col("id").alias("train_id"))
-    b = names.select(F.col("rid").alias("b"), F.col("id").alias("held_id"), F.col("split").alias("held_split"), F.col("dataset").alias("held_dataset"))
-    return pairs.join(a, "a").join(b, "b").select(
+    pairs = found.unionByName(equal)
+    names = written(lookup_join(members, sets.select("digest", "rid"), "digest").select("rid", "id", "side", "split", "dataset"), "names")
+    a = names.where("side = 0").select(F.col("rid").alias("a"), F.col("id").alias("train_id"))
+    b = names.where("side = 1").select(F.col("rid").alias("b"), F.col("id").alias("held_id"), F.col("split").alias("held_split"), F.col("dataset").alias("held_dataset"))
+    shared, union = F.col("shared"), F.col("runs_a") + F.col("runs_b") - F.col("shared")
+    p, q = SIMILARITY
+    return expanding_join(b, expanding_join(a, pairs, "a"), "b").select(
         "train_id",
         "held_id",
         "held_split",
         "held_dataset",
-        (F.col("shared") / (F.col("runs_a") + F.col("runs_b") - F.col("shared"))).alias("similarity"),
-        (F.col("shared") / F.col("runs_b")).alias("containment"),
+        (shared / union).alias("similarity"),
+        (shared / F.col("runs_b")).alias("containment"),
+        (q * shared >= p * union).alias("linked"),
     )

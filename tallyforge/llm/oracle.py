@@ -28,12 +28,13 @@ s AS (SELECT *, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i
 e AS (SELECT tab, side, id, len(runs) AS n, unnest(runs) AS run FROM s)"""
 
 
-def linked(where: str) -> str:
-    return f"SELECT a.id AS ia, b.id AS ib, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.run = b.run AND {where} GROUP BY a.id, b.id HAVING 5 * count(*) >= 3 * (any_value(a.n) + any_value(b.n) - count(*))"
+def linked(where: str, also: str = "") -> str:
+    return f"SELECT a.id AS ia, b.id AS ib, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.run = b.run AND {where} GROUP BY a.id, b.id HAVING 5 * count(*) >= 3 * (any_value(a.n) + any_value(b.n) - count(*)){also}"
 
 
 NEAR = f"""WITH RECURSIVE {ROWS}, l AS ({linked('a.tab = b.tab AND a.id <> b.id')}), r AS (SELECT ia AS x, ib AS y FROM l UNION SELECT r.x, l.ib FROM r JOIN l ON l.ia = r.y)"""
 ACROSS = f"""WITH {ROWS}, p AS ({linked('a.side = 0 AND b.side = 1')})"""
+CONTAINED = f"""WITH {ROWS}, p AS ({linked('a.side = 0 AND b.side = 1', ' OR 5 * count(*) >= 4 * any_value(b.n)')})"""
 PLAIN = r"nullif(regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}\p{{Cf}}]+', '', 'g'), '^.*:', ''), '')"
 RELATED = f"""WITH RECURSIVE d AS (SELECT id, split, 'h' || {PLAIN.format('source_id')} AS s, 'h' || {PLAIN.format('metadata.normalized_prompt_sha256')} AS h,
   CASE WHEN metadata.raw_row_index >= 0 THEN 'i' || metadata.raw_row_index::VARCHAR END AS i FROM {latest('dpo_rows', 'source_id, metadata, ' + "CASE WHEN lower(trim(split)) LIKE 'tr%' THEN 'train' ELSE 'validation' END AS split")}),
@@ -53,7 +54,7 @@ SQL = {
       SELECT f.batch_id, raw_rows, found_copies, reported_duplicates, found_copies - reported_duplicates AS missed_copies FROM f LEFT JOIN p ON p.batch_id = f.batch_id""",
     "p3_found": f"{RELATED} SELECT id, group_id FROM rows JOIN groups ON groups.component = rows.component",
     "p5_found": f"{ACROSS} SELECT least(ia, ib) AS id_a, greatest(ia, ib) AS id_b FROM p",
-    "p5_containment": f"{ACROSS} SELECT ia AS train_id, ib AS held_id, split AS held_split, dataset AS held_dataset, shared / (na + nb - shared) AS similarity, shared / nb AS containment FROM p JOIN t ON t.id = p.ib",
+    "p5_containment": f"{CONTAINED} SELECT ia AS train_id, ib AS held_id, split AS held_split, dataset AS held_dataset, shared / (na + nb - shared) AS similarity, shared / nb AS containment FROM p JOIN t ON t.id = p.ib",
     "p5_report": f"{ACROSS} SELECT split AS held_split, dataset AS held_dataset, count(*) AS pairs, count(DISTINCT ib) AS held_rows, count(DISTINCT ia) AS train_rows FROM p JOIN t ON t.id = p.ib GROUP BY split, dataset",
 }
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..plans.durable import written
 from ..sources.tables import read_table
 from . import defects, formatting, near_duplicates, packing, splits, tokenizing, truncation
@@ -26,7 +27,7 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     grouped = near_duplicates.groups(_table_rows(spark, folder))
     named = grouped.groupBy("group").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_rows"))
     name = F.when(F.col("side") == 0, "sft_rows").otherwise("evaluation_rows")
-    return grouped.join(named, "group").select(name.alias("table_name"), "id", "group_id", "group_rows")
+    return lookup_join(grouped, named, "group").select(name.alias("table_name"), "id", "group_id", "group_rows")
 
 
 def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,17 +36,18 @@ def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _overlaps(spark, folder).select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
+    return _overlaps(spark, folder).where("linked").select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
 
 
 def p5_containment(spark: SparkSession, folder: str) -> DataFrame:
-    return _overlaps(spark, folder)
+    """Linked pairs, and held-out rows whose runs stand in a training row to four fifths, however long that is."""
+    return _overlaps(spark, folder).drop("linked")
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Per held-out split and source dataset: overlapping pairs, held-out rows and training rows in them."""
+    """Per held-out split and source dataset: linked pairs, held-out rows and training rows in them."""
     counts = [F.count(F.lit(1)).alias("pairs"), F.countDistinct("held_id").alias("held_rows"), F.countDistinct("train_id").alias("train_rows")]
-    return _overlaps(spark, folder).groupBy("held_split", "held_dataset").agg(*counts)
+    return _overlaps(spark, folder).where("linked").groupBy("held_split", "held_dataset").agg(*counts)
 
 
 def _copies(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:

@@ -69,7 +69,8 @@ def _runs(words: pa.Array, salt: np.ndarray | None = None, run: int = RUN) -> tu
 def _small(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some 4 MB of text, so that long texts don't fill a worker's memory."""
     for batch in batches:
-        size = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(n)), 0)).astype(np.int64) for n in names)
+        texts = names or [f.name for f in batch.schema if pa.types.is_string(f.type)]
+        size = sum((np.asarray(pc.fill_null(pc.binary_length(batch.column(n)), 0)).astype(np.int64) for n in texts), np.zeros(batch.num_rows, np.int64))
         part = np.cumsum(size) // (4 << 20)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if batch.num_rows else []
         for low, high in zip(cuts, cuts[1:], strict=False):
@@ -80,10 +81,12 @@ def _salt(batch: pa.RecordBatch, apart: bool) -> np.ndarray | None:
     return batch.column("side").to_numpy(zero_copy_only=False) if apart else None
 
 
-def _counter(bits: int, apart: bool):
-    """Per task: how often each hashed bucket occurs, as gaps and counts by range of buckets."""
+def _counter(bits: int, apart: bool, only=None):
+    """Per task: how often each hashed bucket occurs, as gaps and counts by range of buckets; with `only`, a
+    table of `count_table` that was broadcast, of runs whose bucket it knows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if only is None else unpacked(only)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -103,8 +106,13 @@ def _counter(bits: int, apart: bool):
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["k", "gaps", "n"])
 
         size = 0
-        for batch in _small(batches, "words"):
-            _, value = _runs(batch.column("words"), _salt(batch, apart))
+        for batch in _small(batches):
+            if "words" in batch.schema.names:
+                _, value = _runs(batch.column("words"), _salt(batch, apart))
+            else:
+                value = np.asarray(batch.column("block")).view(np.uint64)
+            if known is not None:
+                value = value[known[bucket(value, bits)] > 0]
             if len(value):
                 held.append(np.unique(value >> np.uint64(64 - bits), return_counts=True))
                 size += len(held[-1][0])
@@ -134,12 +142,32 @@ def _merger(bits: int):
     return merge
 
 
-def count_table(sets: DataFrame, apart: bool, bits: int) -> np.ndarray:
+def bucket(value: np.ndarray, bits: int) -> np.ndarray:
+    return (value >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def unpacked(table) -> np.ndarray:
+    """A broadcast table of `count_table` in a worker."""
+    return np.frombuffer(zlib.decompress(table.value), np.uint8)
+
+
+def table_bits(runs: int, room: int = 2) -> int:
+    """Bits of a table with `room` buckets a run; 2^26 buckets at most."""
+    return min(26, max(16, int(room * runs).bit_length()))
+
+
+def total_runs(sets: DataFrame) -> int:
+    return sets.agg(F.sum(F.greatest(F.size(F.split("words", " ")) - RUN + 1, F.lit(0)))).first()[0] or 0
+
+
+def count_table(sets: DataFrame, apart: bool, bits: int, only=None) -> np.ndarray:
     """One byte per hashed bucket: 0 none, 1 exactly one run of all texts, else the count's logarithm.
 
-    2^bits bytes, 64 MB at most whatever the number of texts, so the driver and a broadcast can hold it.
+    `sets` has texts (words, side) or runs (block). 2^bits bytes, 64 MB at most whatever the number of texts,
+    so the driver and a broadcast can hold it.
     """
-    parts = sets.select("words", "side").mapInArrow(_counter(bits, apart), "k int, gaps binary, n binary")
+    columns = ["words", "side"] if "words" in sets.columns else ["block"]
+    parts = sets.select(*columns).mapInArrow(_counter(bits, apart, only), "k int, gaps binary, n binary")
     merged = parts.repartition(RANGES, "k").mapInArrow(_merger(bits), "k int, codes binary")
     table = np.zeros(1 << bits, np.uint8)
     width = 1 << (bits - 4)
@@ -148,11 +176,11 @@ def count_table(sets: DataFrame, apart: bool, bits: int) -> np.ndarray:
     return table
 
 
-def _entries(table, bits: int, apart: bool, two_sided: bool, similarity: tuple[int, int]):
+def _entries(table, bits: int, apart: bool, similarity: tuple[int, int]):
     p, q = similarity
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = np.frombuffer(zlib.decompress(table.value), np.uint8)
+        codes = unpacked(table)
         for batch in _small(batches, "words"):
             m = batch.num_rows
             row, value = _runs(batch.column("words"), _salt(batch, apart))
@@ -160,25 +188,25 @@ def _entries(table, bits: int, apart: bool, two_sided: bool, similarity: tuple[i
                 continue
             parity = np.bincount(row * BITS + (value & np.uint64(BITS - 1)).astype(np.int64), minlength=m * BITS) & 1
             words = np.packbits(parity.astype(np.uint8).reshape(m, BITS), axis=1).view(">u8").astype(np.uint64).view(np.int64)
-            code = codes[(value >> np.uint64(64 - bits)).astype(np.int64)]
+            code = codes[bucket(value, bits)]
             order = np.lexsort((value, code, row))
             row, value, code = row[order], value[order], code[order]
             n = np.bincount(row, minlength=m)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             keep = (place < (n - -(-p * n // q) + 1)[row]) & (code != 1)
             row, value, code = row[keep], value[keep], code[keep]
-            arrays = [value.view(np.int64), np.asarray(batch.column("side")).astype(np.int32)[row] * two_sided, np.asarray(batch.column("rid"))[row], n[row].astype(np.int32)]
+            arrays = [value.view(np.int64), np.zeros(len(row), np.int32), np.asarray(batch.column("rid"))[row], n[row].astype(np.int32)]
             arrays += [words[row, 0], words[row, 1], code.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["block", "grp", "rid", "n", "w0", "w1", "code"])
 
     return emit
 
 
-def trie_pairs(block, grp, n, w, two_sided: bool, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(block, grp, n, w, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs within the error budget: tries of all blocks joined with themselves, level by level.
 
-    Rows of a block with both groups pair across the groups only (with `two_sided`, always). Rows must be
-    ordered by block, group and bits: a trie node is then a range of rows.
+    Rows of a block with both groups pair across the groups only. Rows must be ordered by block, group and
+    bits: a trie node is then a range of rows.
     """
     p, q = similarity
     edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (grp[1:] != grp[:-1]), True])
@@ -187,8 +215,6 @@ def trie_pairs(block, grp, n, w, two_sided: bool, similarity: tuple[int, int]) -
     last = np.r_[first[1:], True]
     alone = np.flatnonzero(first & last)
     paired = np.flatnonzero(first & ~last)  # the other group's range comes next
-    if two_sided:
-        alone = alone[:0]
     a0 = np.r_[low[alone], low[paired]]
     a1 = np.r_[high[alone], high[paired]]
     b0 = np.r_[low[alone], low[paired + 1]]
@@ -241,7 +267,7 @@ def trie_pairs(block, grp, n, w, two_sided: bool, similarity: tuple[int, int]) -
     return np.concatenate(left), np.concatenate(right)
 
 
-def _joiner(two_sided: bool, similarity: tuple[int, int]):
+def _joiner(similarity: tuple[int, int]):
     """Blocks in, candidate pairs out. Batches come ordered by block; whole blocks are worked on together."""
 
     def search(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +282,9 @@ def _joiner(two_sided: bool, similarity: tuple[int, int]):
         for k in np.unique(part):
             mine = np.flatnonzero(part == k)
             lo, hi = edge[mine[0]], edge[mine[-1] + 1]
-            x, y = trie_pairs(block[lo:hi], grp[lo:hi], n[lo:hi], w[lo:hi], two_sided, similarity)
+            x, y = trie_pairs(block[lo:hi], grp[lo:hi], n[lo:hi], w[lo:hi], similarity)
             a, b = rid[lo:hi][x], rid[lo:hi][y]
-            if not two_sided:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -283,13 +307,13 @@ def _joiner(two_sided: bool, similarity: tuple[int, int]):
     return join
 
 
-def _split_hot(entries: DataFrame, sets: DataFrame, two_sided: bool, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame | None]:
-    """(blocks, links): blocks beyond BLOCK rows as pairs of chunks, so that no task gets a large one.
+def _split_hot(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame | None]:
+    """(blocks, links) of `entries`, a written table: blocks beyond BLOCK rows as pairs of chunks, so that no
+    task gets a large one.
 
-    One-sided, such a block is first compared with its least row. Rows that are tied through these links
-    need no comparison with each other, so only the rows outside the block's largest tied group are
-    compared, with all. A third of all rows as near-copies of one text then costs in proportion to them.
-    Two-sided, every pair counts and all pairs of chunks are compared.
+    Such a block is first compared with its least row. Rows that are tied through these links need no
+    comparison with each other, so only the rows outside the block's largest tied group are compared, with
+    all. A third of all rows as near-copies of one text then costs in proportion to them.
     """
     # 2^(code / 7.9) bounds the count of a member from above, so only these blocks can be too large
     maybe = entries.where(F.pow(F.lit(2.0), F.col("code") / 7.9) > BLOCK)
@@ -302,11 +326,6 @@ def _split_hot(entries: DataFrame, sets: DataFrame, two_sided: bool, similarity:
     usual = entries.join(sent(large.select("block")), "block", "left_anti")
     hot = entries.join(sent(large), "block")
     columns = ["n", "w0", "w1"]
-    if two_sided:
-        chunks = F.ceil(F.col("_n") / BLOCK).cast("int")
-        split = hot.withColumn("_c", F.pmod(F.xxhash64("rid"), chunks).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        i, j = F.when(F.col("grp") == 0, F.col("_c")).otherwise(F.col("_k")), F.when(F.col("grp") == 0, F.col("_k")).otherwise(F.col("_c"))
-        return usual.unionByName(split.select(F.xxhash64("block", i, j).alias("block"), "grp", "rid", *columns)), None
     hot = written(hot, "hot")
     leaders = hot.groupBy("block").agg(F.min("rid").alias("a"))
     stars = written(hot.select("block", F.col("rid").alias("b")).join(sent(leaders), "block").where("a <> b").select("a", "b").distinct(), "stars")
@@ -335,15 +354,16 @@ def _split_hot(entries: DataFrame, sets: DataFrame, two_sided: bool, similarity:
     return usual.unionByName(among).unionByName(out).unionByName(into), links
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Those of `pairs` (a, b), a written table, that reach the similarity, with their counts; written."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], contained: tuple[int, int] | None = None) -> DataFrame:
+    """Those of `pairs` (a, b), a written table, that reach the similarity, or of which `contained` of b's runs
+    stand in a, with their counts; written."""
     left = sets.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
     right = sets.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
     shown = lookup_join(pairs, left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
-    return written(shown.mapInArrow(_checker(similarity), "a bigint, b bigint, shared bigint, runs_a bigint, runs_b bigint"), "linked")
+    return written(shown.mapInArrow(_checker(similarity, contained), "a bigint, b bigint, shared bigint, runs_a bigint, runs_b bigint"), "linked")
 
 
-def _checker(similarity: tuple[int, int]):
+def _checker(similarity: tuple[int, int], contained: tuple[int, int] | None):
     p, q = similarity
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,30 +377,112 @@ def _checker(similarity: tuple[int, int]):
             row, value = row[order], value[order]
             twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
             both = np.bincount(row[1:][twice], minlength=m)
-            keep = (q * both >= p * (na + nb - both)) & (both > 0)
+            keep = q * both >= p * (na + nb - both)
+            if contained:
+                keep |= contained[1] * both >= contained[0] * nb
+            keep &= both > 0
             cols = [np.asarray(batch.column("a"))[keep], np.asarray(batch.column("b"))[keep], both[keep], na[keep], nb[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["a", "b", "shared", "runs_a", "runs_b"])
 
     return check
 
 
-def similar_pairs(sets: DataFrame, two_sided: bool, apart: bool = False, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def similar_pairs(sets: DataFrame, apart: bool = False, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(a, b, shared, runs_a, runs_b) of linked pairs of `sets` (rid, words, side); written tables.
 
-    Two-sided, all linked pairs, a of side 0 and b of side 1. One-sided, linked pairs with a < b, of the same
-    side where `apart`: all of them but for those in blocks beyond BLOCK rows whose both texts are already
-    tied through other pairs, so the components are those of all linked pairs. `sets` must be a table that
-    gives the same rows each time it is read. Texts of fewer than RUN words are linked to nothing here.
+    Linked pairs with a < b, of the same side where `apart`: all of them but for those in blocks beyond BLOCK
+    rows whose both texts are already tied through other pairs, so the components are those of all linked
+    pairs. `sets` must be a table that gives the same rows each time it is read. Texts of fewer than RUN words
+    are linked to nothing here.
     """
     spark = sets.sparkSession
-    total = sets.agg(F.sum(F.greatest(F.size(F.split("words", " ")) - RUN + 1, F.lit(0)))).first()[0] or 0
-    bits = min(26, max(16, int(2 * total).bit_length()))
-    table = spark.sparkContext.broadcast(zlib.compress(count_table(sets, apart, bits).tobytes(), 1))
+    bits = table_bits(total_runs(sets))
+    codes = count_table(sets, apart, bits)
+    table = spark.sparkContext.broadcast(zlib.compress(codes.tobytes(), 1))
     columns = "block bigint, grp int, rid bigint, n int, w0 bigint, w1 bigint, code int"
-    entries = sets.select("rid", "words", "side").mapInArrow(_entries(table, bits, apart, two_sided, similarity), columns)
-    blocks, first = _split_hot(entries, sets, two_sided, similarity)
+    entries = sets.select("rid", "words", "side").mapInArrow(_entries(table, bits, apart, similarity), columns)
+    blocks, first = entries, None
+    if 2.0 ** (int(codes.max()) / 7.9) > BLOCK:  # a code bounds the rows of a block from above
+        entries = written(entries, "entries")
+        blocks, first = _split_hot(entries, sets, similarity)
     ordered = blocks.select("block", "grp", "rid", "n", "w0", "w1").repartition("block").sortWithinPartitions("block")
-    candidates = written(ordered.mapInArrow(_joiner(two_sided, similarity), "a bigint, b bigint").distinct(), "candidates")
+    candidates = written(ordered.mapInArrow(_joiner(similarity), "a bigint, b bigint").distinct(), "candidates")
+    release(entries)
     linked = _verified(candidates, sets, similarity)
     release(candidates)
     return linked if first is None else linked.unionByName(first)
+
+
+# --- held-out runs, scanned for in training texts ----------------------------------------------------
+
+#: Rows of a run in training texts beyond which they are searched in parts.
+PART = 1 << 16
+
+
+def _held_entries(table, bits: int, least: tuple[int, int]):
+    """Per held-out text the first n - ceil(least n) + 1 of its runs in the order of their number in training
+    texts, without those that stand in none."""
+    p, q = least
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = unpacked(table)
+        for batch in _small(batches, "words"):
+            row, value = _runs(batch.column("words"))
+            code = codes[bucket(value, bits)]
+            order = np.lexsort((value, code, row))
+            row, value, code = row[order], value[order], code[order]
+            n = np.bincount(row, minlength=batch.num_rows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            keep = (place < (n - -(-p * n // q) + 1)[row]) & (code > 0)
+            yield _emitted(batch, row[keep], value[keep], n, code[keep], "b")
+
+    return emit
+
+
+def _train_entries(marks, mark_bits: int, table, bits: int):
+    """Per training text those of its runs that a held-out text asks for."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, codes = unpacked(marks), unpacked(table)
+        for batch in _small(batches, "words"):
+            row, value = _runs(batch.column("words"))
+            n = np.bincount(row, minlength=batch.num_rows)
+            keep = wanted[bucket(value, mark_bits)] > 0
+            yield _emitted(batch, row[keep], value[keep], n, codes[bucket(value[keep], bits)], "a")
+
+    return emit
+
+
+def _emitted(batch: pa.RecordBatch, row: np.ndarray, value: np.ndarray, n: np.ndarray, code: np.ndarray, name: str) -> pa.RecordBatch:
+    arrays = [value.view(np.int64), np.asarray(batch.column("rid"))[row], n[row].astype(np.int32), code.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["block", name, f"n_{name}", "code"])
+
+
+def contained_pairs(sets: DataFrame, similarity: tuple[int, int], contained: tuple[int, int]) -> DataFrame:
+    """(a, b, shared, runs_a, runs_b) of all pairs of a training text a (side 0 of `sets`) and a held-out text b
+    (side 1) that reach the similarity or of which `contained` of b's runs stand in a; a written table.
+
+    Either way a holds the lesser of both shares of b's runs, so it holds one of b's n - ceil(share n) + 1
+    rarest. Only these few hashes of a held-out text are partitioned. Training texts are scanned for them: a
+    bit table of all asked hashes (64 MB at most) drops nearly all other runs before anything is shuffled, and
+    what remains meets the held-out texts by hash. Runs with more than PART rows in training are met in parts.
+    Rareness, by a table of hashed counts, only orders; no pair depends on it.
+    """
+    spark = sets.sparkSession
+    held, train = sets.where("side = 1"), sets.where("side = 0")
+    sent = lambda codes: spark.sparkContext.broadcast(zlib.compress(codes.tobytes(), 1))
+    least = min(similarity, contained, key=lambda x: x[0] / x[1])
+    bits = table_bits(total_runs(held), 8)
+    known = sent(count_table(held, False, bits))
+    table = sent(count_table(train, False, bits, known))
+    known.unpersist()
+    columns = "block bigint, {0} bigint, n_{0} int, code int"
+    asked = written(held.select("rid", "words").mapInArrow(_held_entries(table, bits, least), columns.format("b")), "asked")
+    mark_bits = table_bits(asked.count(), 8)
+    marks = sent(count_table(asked, False, mark_bits))
+    met = train.select("rid", "words").mapInArrow(_train_entries(marks, mark_bits, table, bits), columns.format("a"))
+    parts = F.ceil(F.pow(F.lit(2.0), F.col("code") / 7.9) / PART).cast("int")
+    asked = asked.select("block", "b", "n_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = met.select("block", "a", "n_a", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    pairs = met.join(asked, ["block", "part"]).where(least[1] * F.col("n_a") >= least[0] * F.col("n_b")).select("a", "b").distinct()
+    return _verified(written(pairs, "candidates"), sets, similarity, contained)

@@ -131,3 +131,43 @@ def test_a_third_of_all_rows_as_near_copies(spark, monkeypatch):
     rows = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "id string, words string, side int")
     got = near_duplicates.pairs_in_groups(near_duplicates.groups(rows))
     assert {tuple(r) for r in got.collect()} == groups_of(texts)
+
+
+@pytest.mark.parametrize("part", [1 << 16, 3])
+def test_contained_texts_equal_brute_force(spark, monkeypatch, part):
+    """Held-out texts inside longer training texts, a third of which are alike; runs met in parts."""
+    monkeypatch.setattr(similar, "PART", part)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(400)}"
+    held = {f"h{i:03d}": " ".join(word() for _ in range(rng.randrange(5, 40))) for i in range(60)} | {"short": "two words", "null": None}
+    train = {}
+    for i in range(120):
+        inner = rng.choice(list(held.values())[:60]).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            inner[rng.randrange(len(inner))] = "changed"
+        around = [word() for _ in range(rng.choice([0, 10, 80]))]
+        train[f"t{i:03d}"] = " ".join(around + inner + around) if i % 3 else " ".join(held["h000"].split() * 1 + ["and", "more", "of", "the", "same"])
+    train["short too"] = "Two, words!"
+    rows = [(k, t, 1) for k, t in held.items()] + [(k, t, 0) for k, t in train.items()]
+    given = spark.createDataFrame(rows, "id string, t string, side int")
+    given = given.select("id", similar.plain_words(F.col("t")).alias("words"), "side", F.lit("s").alias("split"), F.lit("d").alias("dataset")).where("words <> ''")
+    got = near_duplicates.overlaps(given).collect()
+    want = {}
+    for a, ta in train.items():
+        for b, tb in held.items():
+            ra, rb = runs(ta)[0], runs(tb)[0]
+            like = linked(ta, tb)
+            if like or (rb and 5 * len(ra & rb) >= 4 * len(rb)):
+                want[a, b] = like
+    assert {(r.train_id, r.held_id): r.linked for r in got} == want and len(got) == len(want)
+    assert sum(not x for x in want.values()) > 20
+
+
+def test_hub_of_a_third_of_all_nodes(spark, monkeypatch):
+    """One node that a third of all others are tied to, by its greatest and by its least name."""
+    from tallyforge.operators import skew
+
+    monkeypatch.setattr(skew, "FEW", 20)
+    edges = [(i, 10_000) for i in range(200)] + [(i, -1) for i in range(1000, 1200)] + [(i, i + 1) for i in range(3000, 3010)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6)).collect()}
+    assert got == {i: 0 for i in [*range(200), 10_000]} | {i: -1 for i in [-1, *range(1000, 1200)]} | {i: 3000 for i in range(3000, 3011)}

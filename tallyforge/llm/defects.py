@@ -296,7 +296,10 @@ def clause_clusters(clauses: DataFrame) -> DataFrame:
     groups = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
     plan = groups.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("n"))
     plan = plan.where("n > main.m").select("band", "main.label", F.ceil(F.col("n") / CHUNK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("main.m")) / CHUNK).cast("int").alias("open"))
-    placed = lookup_join(marked, written(plan.withColumnRenamed("label", "main"), "plan"), "band")
+    plan = written(plan.withColumnRenamed("label", "main"), "plan")
+    if plan.isEmpty():
+        return clauses.select("rid").join(tied, "rid", "left").select("rid", F.coalesce("label", "rid").alias("cluster"))
+    placed = lookup_join(marked, plan, "band")
     chunk = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     opened = placed.where("label <> main").select("band", F.col("rid").alias("a"), F.col("label").alias("of_a"), chunk("open").alias("i"), each("all").alias("j"))

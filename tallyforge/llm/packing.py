@@ -77,7 +77,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sized = lengths.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
     full = F.when(F.col("tokens") > capacity, F.floor(F.col("tokens") / capacity)).otherwise(0).cast("int")
     items = written(sized.withColumn("full", full).withColumn("size", (F.col("tokens") - F.col("full") * capacity).cast("int")), "items")
-    histogram = {r[0]: r[1] for r in items.where("size > 0").groupBy("size").count().toLocalIterator()}
+    histogram = {r[0]: r[1] for r in items.where("size > 0").groupBy("size").count().collect()}
     plan, first = [], 0
     reached: Counter = Counter()
     for content, times in patterns(histogram, capacity):

@@ -171,7 +171,7 @@ def count_table(sets: DataFrame, apart: bool, bits: int, only=None) -> np.ndarra
     merged = parts.repartition(RANGES, "k").mapInArrow(_merger(bits), "k int, codes binary")
     table = np.zeros(1 << bits, np.uint8)
     width = 1 << (bits - 4)
-    for k, codes in merged.toLocalIterator():
+    for k, codes in merged.collect():
         table[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(bytes(codes)), np.uint8)
     return table
 

@@ -156,8 +156,8 @@ def assign_splits(rows: DataFrame, targets: DataFrame, bins: int = 100) -> DataF
     """
     spark = rows.sparkSession
     weights = written(rows.groupBy("group").agg(F.count(F.lit(1)).alias("weight"), F.min("source").alias("group_id")), "weights")
-    classes = [(r[0], r[1]) for r in weights.groupBy("weight").count().toLocalIterator()]
-    wanted = {r[0]: float(r[1]) for r in targets.where("split is not null and proportion > 0").select("split", "proportion").toLocalIterator()}
+    classes = [(r[0], r[1]) for r in weights.groupBy("weight").count().collect()]
+    wanted = {r[0]: float(r[1]) for r in targets.where("split is not null and proportion > 0").select("split", "proportion").collect()}
     extra, load = balanced_bins(classes, bins)
     split_of = allot(load, wanted)
     table = [(w, n // bins * bins, extra.get(w, [])) for w, n in classes]

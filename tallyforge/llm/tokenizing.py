@@ -9,11 +9,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import written
+from ..plans.durable import release, written
 from ..sources.tables import latest_delivery
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -46,11 +48,16 @@ def _encoder(pieces):
     return encode
 
 
-def word_table(texts: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, ids, n) of every distinct word of `texts` (doc_id, text); n is how often it occurs. Written."""
-    spark = texts.sparkSession
+def split_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, words) of `texts` (doc_id, text), written once for all that follows."""
+    return written(texts.select("doc_id", words_of(F.col("text")).alias("words")), "split")
+
+
+def word_table(split: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(word, ids, n) of every distinct word of `split` (doc_id, words); n is how often it occurs. Written."""
+    spark = split.sparkSession
     pieces = spark.sparkContext.broadcast(vocabulary(path))  # bounded by the vocabulary file
-    counted = texts.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return written(counted.mapInArrow(_encoder(pieces), "word string, ids array<int>, n bigint"), "words")
 
 
@@ -66,36 +73,76 @@ def texts_of(documents: DataFrame) -> DataFrame:
     return latest_delivery(documents, "doc_id", "collected_at", {"text": F.coalesce("text", F.lit(""))})
 
 
+def _gathered(common, lengths_only: bool):
+    """Words of texts met with the broadcast part of the table: the ids between two words that are not in it
+    (`known`, or their number), and these words in order (`rare`)."""
+    kind = pa.int32()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = common.value
+        for batch in batches:
+            lists = batch.column("words")
+            per_text = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            flat = lists.flatten().dictionary_encode()
+            at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            found = [table.get(w) for w in flat.dictionary.to_pylist()]
+            missing = np.array([x is None for x in found], bool)
+            ids = pa.array([x or () for x in found], pa.list_(kind))
+            sizes = np.asarray(pc.list_value_length(ids)).astype(np.int64)
+            is_rare = missing[at] if len(at) else np.empty(0, bool)
+            row = np.repeat(np.arange(len(per_text)), per_text)
+            rares = np.bincount(row[is_rare], minlength=len(per_text))
+            # a text has one segment more than rare words
+            segments = np.cumsum(rares + 1) - (rares + 1)
+            segment = segments[row] + np.cumsum(is_rare) - (np.cumsum(rares) - rares)[row]
+            size = np.bincount(segment, weights=sizes[at], minlength=int((rares + 1).sum())).astype(np.int64)
+            outer = pa.array(np.r_[0, np.cumsum(rares + 1)].astype(np.int32))
+            if lengths_only:
+                known = pa.array(np.add.reduceat(size, segments) if len(segments) else np.empty(0, np.int64), pa.int64())
+            else:
+                inner = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+                known = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, ids.take(pa.array(at)).flatten().cast(kind)))
+            words = flat.filter(pa.array(is_rare)).dictionary_decode()
+            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rares)].astype(np.int32)), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), known, rare], ["doc_id", "known", "rare"])
+
+    return gather
+
+
+def _met(split: DataFrame, table: DataFrame, lengths_only: bool) -> DataFrame:
+    """(doc_id, known, rare) of `split`, written. What the driver holds is bounded as `_common` says."""
+    common = {r[0]: tuple(r[1]) for r in _common(table).select("word", "ids").collect()}
+    known = "bigint" if lengths_only else "array<array<int>>"
+    kind = split.schema["doc_id"].dataType.simpleString()
+    sent = split.sparkSession.sparkContext.broadcast(common)
+    return written(split.mapInArrow(_gathered(sent, lengths_only), f"doc_id {kind}, known {known}, rare array<string>"), "met")
+
+
 def encode(texts: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids): ids without special tokens; empty for an empty text.
+    """(doc_id, ids) of `texts` (doc_id, text): ids without special tokens; empty for an empty or null text.
 
-    `texts` (doc_id, text) is laid out by doc_id, so ids of common words are gathered without a shuffle;
-    only the rare words travel to the table and back, once per document and word.
+    Words are split once and counted. Those that the vocabulary has whole, and very frequent ones, meet their
+    ids where they stand; all others travel to the table and back, with their place among the text's others.
     """
-    table = word_table(texts, path)
-    common = F.broadcast(_common(table).select("word", "ids"))
-    at = texts.select("doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word")).join(common, "word", "left")
-    known = at.groupBy("doc_id").agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("known"))
-    rare = at.where(F.col("word").isNotNull() & F.col("ids").isNull()).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    back = (
-        rare.join(table.select("word", "ids"), "word")
-        .select("doc_id", F.explode("at").alias("pos"), "ids")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("pos", "ids")).alias("rare"))
-    )
-    both = F.sort_array(F.concat("known", F.coalesce("rare", F.expr("array()").cast("array<struct<pos:int,ids:array<int>>>"))))
-    return known.join(back, "doc_id", "left").select("doc_id", F.flatten(F.transform(both, lambda x: x["ids"])).alias("ids"))
+    split = split_texts(texts)
+    table = word_table(split, path)
+    met = _met(split, table, False)
+    release(split)
+    rare = met.where(F.size("rare") > 0).select("doc_id", F.posexplode("rare").alias("pos", "word"))
+    back = rare.join(table.select("word", "ids"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("back"))
+    pairs = F.transform(F.col("known"), lambda part, i: F.concat(part, F.coalesce(F.get(F.col("back"), i)["ids"], F.expr("cast(array() as array<int>)"))))
+    return met.select("doc_id", "known").join(back, "doc_id", "left").select("doc_id", F.flatten(pairs).alias("ids"))
 
 
 def token_counts(texts: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens): how many ids `encode` gives, without gathering them."""
-    table = word_table(texts, path)
-    common = F.broadcast(_common(table).select("word", F.size("ids").alias("size")))
-    at = texts.select("doc_id", F.explode_outer(words_of(F.col("text"))).alias("word")).join(common, "word", "left")
-    known = at.groupBy("doc_id").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("known"))
-    rare = at.where(F.col("word").isNotNull() & F.col("size").isNull()).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("times"))
-    back = rare.join(table.select("word", F.size("ids").alias("size")), "word").groupBy("doc_id").agg(F.sum(F.col("times") * F.col("size")).alias("rare"))
-    return known.join(back, "doc_id", "left").select("doc_id", (F.col("known") + F.coalesce("rare", F.lit(0))).alias("tokens"))
+    split = split_texts(texts)
+    table = word_table(split, path)
+    met = _met(split, table, True)
+    release(split)
+    rare = met.where(F.size("rare") > 0).select("doc_id", F.explode("rare").alias("word"))
+    back = rare.join(table.select("word", F.size("ids").alias("size")), "word").groupBy("doc_id").agg(F.sum("size").alias("back"))
+    return met.select("doc_id", "known").join(back, "doc_id", "left").select("doc_id", (F.col("known") + F.coalesce("back", F.lit(0))).alias("tokens"))
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:

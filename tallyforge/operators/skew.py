@@ -16,7 +16,7 @@ def hot_keys(rows: DataFrame, key: str, most_hot: int = 500) -> tuple[list[tuple
     if n <= least:
         return [], least
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least)
-    return [(bytes(k) if isinstance(k, bytearray) else k, m) for k, m in counts.toLocalIterator()], least
+    return [(bytes(k) if isinstance(k, bytearray) else k, m) for k, m in counts.collect()], least
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, most_hot: int = 500) -> DataFrame:

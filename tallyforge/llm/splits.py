@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import bucketed_rank
 from ..operators.skew import lookup_join
 from ..plans.durable import written
-from ..sources.tables import latest_delivery
+from ..sources.tables import latest_delivery, plain_split
 from .components import components
 
 
@@ -26,21 +26,6 @@ def plain_hash(value: Column) -> Column:
     return F.nullif(F.regexp_replace(bare, "^.*:", ""), F.lit(""))
 
 
-def plain_split(split: Column, id: Column | None = None) -> Column:
-    """train, validation or evaluation for any spelling; where it names none, what the id says; else null."""
-
-    def named(text: Column) -> Column:
-        bare = F.regexp_replace(F.lower(text), r"[^a-z]", "")
-        return (
-            F.when(bare.startswith("tr"), "train").when(bare.startswith("val") | (bare == "dev"), "validation").when(bare.startswith("ev") | (bare == "test"), "evaluation")
-        )
-
-    said = named(split)
-    if id is not None:
-        said = F.coalesce(said, named(F.regexp_extract(F.lower(id), "_(train|validation|evaluation|val|eval)_", 1)))
-    return said
-
-
 def related(rows: DataFrame) -> DataFrame:
     """`rows` (id, source, sha, row_index, split) with `group`, the component of each row.
 

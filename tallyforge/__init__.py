@@ -1 +1,10 @@
-"""Spark-native preparation, checking and scoring of language-model post-training data."""
+"""Part of tallyforge; see README.md.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import sys
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import UNICODE, WS, drop_closing, let, message_text, strip, strip_answer, tail_lines
 
@@ -38,13 +44,38 @@ def _balanced(depth: int) -> str:
     return body
 
 
+DEPTH = 24
 # a lookahead, so that boxes inside boxes are found too
-BOXED = rf"\\(?:boxed|fbox)\{{(?=({_balanced(24)})\}})"
+BOXED = rf"\\(?:boxed|fbox)\{{(?=({_balanced(DEPTH)})\}})"
+BOX_START = r"\\(?:boxed|fbox)\{"
+
+
+def _deep(text: Column) -> Column:
+    """Whether braces nest deeper than DEPTH: something is left of them after as many rounds without inner pairs."""
+    braces = F.regexp_replace(text, r"[^{}]+", "")
+    for _ in range(DEPTH):
+        braces = F.replace(braces, F.lit("{}"), F.lit(""))
+    return F.contains(braces, F.lit("{}"))
+
+
+def _deep_box(text: Column) -> Column:
+    """The same content as BOXED finds, at any depth, character by character."""
+    tails = F.split(text, BOX_START)
+
+    def from_start(i: Column) -> Column:
+        # what follows the i-th start, its further starts written again so that their braces count
+        tail = F.array_join(F.slice(tails, i + 1, F.size(tails)), "\\boxed{")
+        step = lambda a, c: F.when(a["open"] == 0, a).otherwise(F.struct((a["open"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("open"), (a["n"] + 1).alias("n")))
+        return let(F.aggregate(F.split(tail, ""), F.struct(F.lit(1).alias("open"), F.lit(0).alias("n")), step), lambda a: F.when(a["open"] == 0, F.substring(tail, F.lit(1), a["n"] - 1)))
+
+    starts = F.when(F.size(tails) > 1, F.sequence(F.size(tails) - 1, F.lit(1), F.lit(-1)))
+    return F.get(F.filter(F.transform(starts, from_start), lambda x: x.isNotNull()), 0)
 
 
 def boxed(text: Column) -> Column:
-    """Content of the last box whose braces balance (24 levels deep), as a stripped answer; null if none or empty."""
-    found = F.try_element_at(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)), F.lit(-1))
+    """Content of the last box whose braces balance, as a stripped answer; null if none or empty."""
+    usual = F.try_element_at(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)), F.lit(-1))
+    found = F.when(_deep(text), _deep_box(text)).otherwise(usual)
     return F.when(F.contains(text, F.lit("box{")) | F.contains(text, F.lit("boxed{")), F.nullif(strip_answer(found), F.lit("")))
 
 
@@ -123,42 +154,70 @@ def gold_answer(answer: Column, trajectory: Column) -> Column:
 
 
 # --- exact numbers -----------------------------------------------------------------------------------
+# Inside expressions a number is a struct of two integer texts p and q, which stand for p / q and aren't in
+# lowest terms; t is the text of what is no fraction. Comparisons multiply crosswise. Only what is shown is
+# brought to lowest terms, and only numbers too long for decimals are compared outside the JVM, in Arrow batches.
+
+LONGEST = 18
+
+
+def _number(p: Column, q: Column) -> Column:
+    bare = lambda v: F.regexp_replace(F.regexp_replace(v, r"\A\+", ""), r"\A(-?)0+(?=\d)", "$1")
+    return F.when(~q.rlike(r"\A[-+]?0+\z"), F.struct(bare(p).alias("p"), bare(q).alias("q"), F.lit(None).cast("string").alias("t")))
+
 
-def _gcd(a: Column, b: Column, steps: Column) -> Column:
-    """Euclid on two whole numbers."""
-    start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
+def _as_text(t: Column) -> Column:
+    """A whole number as p / 1, so that it equals fractions of that value; any other text as it is."""
+    none = F.lit(None).cast("string")
+    whole = t.rlike(r"\A-?\d+\z")
+    return F.when(t.isNotNull(), F.struct(F.when(whole, t).otherwise(none).alias("p"), F.when(whole, "1").alias("q"), t.alias("t")))
 
-    def step(s: Column, _: Column) -> Column:
-        return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0).cast("bigint"))).alias("b")))
 
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step)["a"]
+def _is_long(x: Column) -> Column:
+    return F.coalesce(F.greatest(F.length(x["p"]), F.length(x["q"])) > LONGEST, F.lit(False))
 
 
-def _fraction(num: Column, den: Column) -> Column:
-    """'p/q' or 'p' in lowest terms of two integer texts; null for a zero denominator. Beyond 18 digits the
-    terms stay as they are, without leading zeros."""
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a["p"].alias("p1"), a["q"].alias("q1"), a["t"].alias("t1"), b["p"].alias("p2"), b["q"].alias("q2"), b["t"].alias("t2"))
 
-    def reduced(x: Column) -> Column:
-        # no division of n digits takes Euclid more than five steps a digit
-        steps = 5 * F.least(F.length(x["p"]), F.length(x["q"])) + 1
-        whole = F.struct(x["p"].try_cast("bigint").alias("a"), x["q"].try_cast("bigint").alias("b"), steps.alias("n"))
-        # decimals divide without loss
-        by = lambda v, g: (F.abs(v).cast("decimal(20,0)") / g.cast("decimal(20,0)")).cast("bigint")
 
-        def lowest(y: Column) -> Column:
-            a, b = y["a"], y["b"]
-            sign = F.when((a < 0) != (b < 0), -1).otherwise(1)
-            terms = let(_gcd(a, b, y["n"]), lambda g: F.struct((sign * by(a, g)).alias("p"), by(b, g).alias("q")))
-            return let(terms, lambda t: F.when(t["q"] == 1, t["p"].cast("string")).otherwise(F.concat(t["p"].cast("string"), F.lit("/"), t["q"].cast("string"))))
+def _same_short(a: Column, b: Column) -> Column:
+    """Whether two numbers are equal, crosswise; texts as they stand. Null if either is null or too long."""
+    longest = F.greatest(*[F.length(x[f]) for x in (a, b) for f in ("p", "q")])
 
-        return let(whole, lowest)
+    def equal(kind: str) -> Column:
+        whole = lambda v: v.try_cast(kind)
+        return whole(a["p"]) * whole(b["q"]) == whole(b["p"]) * whole(a["q"])
 
-    def either(x: Column) -> Column:
-        bare = lambda v: F.regexp_replace(F.regexp_replace(v, r"\A\+", ""), r"\A(-?)0+(?=\d)", "$1")
-        small = (F.length(x["p"]) <= 18) & (F.length(x["q"]) <= 18)
-        return F.when(x["q"].rlike(r"\A[-+]?0+\z"), F.lit(None)).when(small, reduced(x)).otherwise(F.concat(bare(x["p"]), F.lit("/"), bare(x["q"])))
+    fractions = a["p"].isNotNull() & b["p"].isNotNull()
+    return F.when(~fractions, a["t"] == b["t"]).when(longest <= LONGEST // 2, equal("bigint")).when(longest <= LONGEST, equal(f"decimal({LONGEST},0)"))
 
-    return let(F.struct(num.alias("p"), den.alias("q")), either)
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _same_long(pairs: pd.Series) -> pd.Series:
+    """The same for pairs whose terms are too long, with whole numbers of any length."""
+
+    def equal(x):
+        return x["t1"] is not None and x["t1"] == x["t2"] if x["p1"] is None or x["p2"] is None else int(x["p1"]) * int(x["q2"]) == int(x["p2"]) * int(x["q1"])
+
+    sys.set_int_max_str_digits(0)
+    return pairs.map(lambda row: None if row is None else [None if x is None else equal(x) for x in row])
+
+
+@F.pandas_udf(T.StringType())
+def _shown(number: pd.DataFrame) -> pd.Series:
+    """The text of a number in lowest terms, 'p/q' or 'p'; t where it is no fraction."""
+    p, q, out = number["p"], number["q"], number["t"].copy()
+    some = p.notna()
+    short = some & (p.str.len() <= LONGEST) & (q.str.len() <= LONGEST)
+    if short.any():
+        a, b = p[short].to_numpy().astype(np.int64), q[short].to_numpy().astype(np.int64)
+        g = np.gcd(a, b) * np.sign(b)
+        out[short] = [f"{x}/{y}" if y != 1 else str(x) for x, y in zip((a // g).tolist(), (b // g).tolist(), strict=True)]
+    if (some & ~short).any():
+        sys.set_int_max_str_digits(0)
+        out[some & ~short] = [str(Fraction(int(x), int(y))) for x, y in zip(p[some & ~short], q[some & ~short], strict=True)]
+    return out
 
 
 def _plain_decimal(text: Column) -> Column:
@@ -170,15 +229,30 @@ def _plain_decimal(text: Column) -> Column:
     return F.when(x == "-0", "0").otherwise(x)
 
 
-def normalize_answer(answer: Column) -> Column:
-    """Normal form for exact match: choice letter, fraction in lowest terms, plain decimal, or the text
-    without white space; null if nothing is left."""
+def with_normal(rows: DataFrame, **answers: Column) -> DataFrame:
+    """`rows` with the normal forms of `answers` by name, for exact match: choice letter, fraction in lowest
+    terms, plain decimal, or the text without white space; null if nothing is left."""
+    return _with_shown(rows, {k: _normal(v) for k, v in answers.items()})
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with `columns`, each computed once: the optimizer merges nothing across a generator, so later
+    stages don't repeat them, and Python functions, which can't take nested lambdas, get plain columns."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _with_shown(rows: DataFrame, numbers: dict[str, Column]) -> DataFrame:
+    made = once(rows, **{f"_{k}": v for k, v in numbers.items()})
+    return made.withColumns({k: _shown(F.col(f"_{k}")) for k in numbers}).drop(*[f"_{k}" for k in numbers])
+
+
+def _normal(answer: Column) -> Column:
     bare = drop_closing(F.replace(F.replace(F.replace(strip(answer), F.lit("\\("), F.lit("")), F.lit("\\)"), F.lit("")), F.lit("$"), F.lit("")))
 
     def shaped(x: Column) -> Column:
         value = F.when(x.rlike(ASSIGNED), strip(F.regexp_extract(x, ASSIGNED, 1))).otherwise(x)
         choice = F.when(x.rlike(CHOICE), F.upper(F.regexp_extract(x, CHOICE, 1)))
-        return F.when(x == "", F.lit(None)).otherwise(F.coalesce(choice, let(value, _number_or_text)))
+        return F.when(x != "", F.coalesce(_as_text(choice), let(value, _number_or_text)))
 
     return let(let(bare, lambda x: F.coalesce(boxed(x), x)), shaped)
 
@@ -188,13 +262,13 @@ def _number_or_text(value: Column) -> Column:
     latex, slash = rf"{UNICODE}\A\\d?frac\{{({D})\}}\{{({D})\}}\z", rf"{UNICODE}\A({D})/({D})\z"
     fraction = let(
         tight,
-        lambda x: F.when(x.rlike(latex), _fraction(F.regexp_extract(x, latex, 1), F.regexp_extract(x, latex, 2))).when(
-            x.rlike(slash), _fraction(F.regexp_extract(x, slash, 1), F.regexp_extract(x, slash, 2))
+        lambda x: F.when(x.rlike(latex), _number(F.regexp_extract(x, latex, 1), F.regexp_extract(x, latex, 2))).when(
+            x.rlike(slash), _number(F.regexp_extract(x, slash, 1), F.regexp_extract(x, slash, 2))
         ),
     )
     decimal = let(F.replace(strip(value), F.lit(","), F.lit("")), lambda x: F.when(x.rlike(rf"{UNICODE}\A{SIMPLE}\z"), _plain_decimal(x)))
     text = F.replace(F.replace(tight, F.lit("\\left"), F.lit("")), F.lit("\\right"), F.lit(""))
-    return F.coalesce(fraction, decimal, text)
+    return F.coalesce(fraction, _as_text(F.coalesce(decimal, text)))
 
 
 def clean_math(value: Column) -> Column:
@@ -208,16 +282,25 @@ def clean_math(value: Column) -> Column:
 
 def strip_unit(value: Column) -> Column:
     """The number of 'number and unit'; other texts cleaned only; null gives the empty text."""
+    return F.coalesce(let(clean_math(value), _unitless), F.lit(""))
+
+
+def _unitless(clean: Column) -> Column:
+    return F.when(clean.rlike(WITH_UNIT), F.regexp_replace(strip(F.regexp_extract(clean, WITH_UNIT, 1)), rf"{UNICODE}{WS}+%", "%")).otherwise(clean)
 
-    def shaped(x: Column) -> Column:
-        return F.when(x.rlike(WITH_UNIT), F.regexp_replace(strip(F.regexp_extract(x, WITH_UNIT, 1)), rf"{UNICODE}{WS}+%", "%")).otherwise(x)
 
-    return F.coalesce(let(clean_math(value), shaped), F.lit(""))
+def with_rational(rows: DataFrame, **answers: Column) -> DataFrame:
+    """`rows` with the exact values of `answers` by name, as 'p/q' or 'p' in lowest terms, percent as
+    hundredths; null if it is no number."""
+    return _with_shown(rows, {k: _rational(v) for k, v in answers.items()})
 
 
-def rational(value: Column) -> Column:
-    """The exact value of an answer as 'p/q' or 'p' in lowest terms, percent as hundredths; null if it is
-    no number. Decimals of more than 18 digits keep a decimal form, equal only to the same value so written."""
+def _rational(value: Column) -> Column:
+    return _value(strip_unit(value))
+
+
+def _value(bare: Column) -> Column:
+    """The number that a text without unit is."""
 
     def of(x: Column) -> Column:
         percent = F.endswith(x, F.lit("%"))
@@ -227,32 +310,27 @@ def rational(value: Column) -> Column:
     def assigned(x: Column) -> Column:
         return F.when(x.rlike(ASSIGNED), strip(F.regexp_extract(x, ASSIGNED, 1))).otherwise(x)
 
-    return let(let(clean_math(strip_unit(value)), assigned), of)
+    return let(let(clean_math(bare), assigned), of)
 
 
 def _exact(body: Column, percent: Column) -> Column:
     latex, slash = rf"{UNICODE}\A\\d?frac\{{({D})\}}\{{({D})\}}\z", rf"{UNICODE}\A({D}){WS}*/{WS}*({D})\z"
     hundred = F.when(percent, "00").otherwise("")
-    fraction = lambda p: _fraction(F.regexp_extract(body, p, 1), F.concat(F.regexp_extract(body, p, 2), hundred))
+    fraction = lambda p: _number(F.regexp_extract(body, p, 1), F.concat(F.regexp_extract(body, p, 2), hundred))
 
     def decimal(x: Column) -> Column:
         places = F.length(F.regexp_extract(x, r"\.(\d*)\z", 1)) + F.length(hundred)
-        digits = F.replace(x, F.lit("."), F.lit(""))
-        return F.when(places == 0, x).when((F.length(digits) <= 17) & (places <= 16), _fraction(digits, F.concat(F.lit("1"), F.repeat(F.lit("0"), places)))).otherwise(F.concat(x, F.when(percent, "%").otherwise("")))
+        return _number(F.replace(x, F.lit("."), F.lit("")), F.concat(F.lit("1"), F.repeat(F.lit("0"), places)))
 
     return (
         F.when(body.rlike(latex), fraction(latex)).when(body.rlike(slash), fraction(slash)).when(body.rlike(rf"{UNICODE}\A{REAL}\z"), let(_plain_decimal(body), decimal))
     )
 
 
-def _shown_percent(value: Column) -> Column:
-    """The number in front of a closing percent sign."""
-
-    def of(x: Column) -> Column:
-        body = strip(F.regexp_replace(x, r"%\z", ""))
-        return F.when(F.endswith(x, F.lit("%")), let(body, lambda b: F.when(b.rlike(rf"{UNICODE}\A{REAL}\z"), _exact(b, F.lit(False)))))
-
-    return let(clean_math(value), of)
+def _shown_percent(clean: Column) -> Column:
+    """The number in front of a closing percent sign of a cleaned text."""
+    body = strip(F.regexp_replace(clean, r"%\z", ""))
+    return F.when(F.endswith(clean, F.lit("%")), let(body, lambda b: F.when(b.rlike(rf"{UNICODE}\A{REAL}\z"), _exact(b, F.lit(False)))))
 
 
 def _embedded(value: Column) -> Column:
@@ -262,12 +340,22 @@ def _embedded(value: Column) -> Column:
 
 def _reading(value: Column) -> Column:
     """struct(n, q, u, s): normal form, exact value, normal form without unit, number shown before a percent sign."""
-    return F.struct(
-        normalize_answer(value).alias("n"),
-        rational(value).alias("q"),
-        normalize_answer(F.nullif(strip_unit(value), F.lit(""))).alias("u"),
-        _shown_percent(value).alias("s"),
-    )
+    none = F.lit(None).cast("struct<p:string,q:string,t:string>")
+
+    def plain(x: Column) -> Column:
+        n, q = _as_text(x), _exact(x, F.lit(False))
+        return F.struct(n.alias("n"), q.alias("q"), n.alias("u"), none.alias("s"))
+
+    # a number and nothing else needs none of the rules
+    return F.when(value.rlike(r"\A-?\d+(?:\.\d+)?\z"), let(_plain_decimal(value), plain)).otherwise(_any_reading(value))
+
+
+def _any_reading(value: Column) -> Column:
+    def of(x: Column) -> Column:
+        parts = {"n": _normal(x["value"]), "q": _value(x["unitless"]), "u": _normal(F.nullif(x["unitless"], F.lit(""))), "s": _shown_percent(x["clean"])}
+        return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+    return let(let(clean_math(value), lambda c: F.struct(value.alias("value"), c.alias("clean"), F.coalesce(_unitless(c), F.lit("")).alias("unitless"))), of)
 
 
 def choice_options(prompt: Column) -> Column:
@@ -286,39 +374,52 @@ def choice_options(prompt: Column) -> Column:
     return let(of(OPTION_LINES), lambda x: F.map_from_entries(F.when(F.size(x) > 0, x).otherwise(of(OPTION_INLINE))))
 
 
-def compare_answers(predicted: Column, reference: Column, prompt: Column, strict: Column) -> Column:
-    """struct(equal, method): whether two answers mean the same, by the first rule that says so.
+#: What is compared, as (text, reading) on both sides. Texts: predicted, reference, the options that these
+#: name, and the one number inside the predicted one. Readings: normal form, exact value, normal form without
+#: unit, number shown before a percent sign.
+PAIRS = {
+    "value": ((0, "q"), (1, "q")), "percent": ((0, "s"), (1, "q")), "of_percent": ((1, "s"), (0, "q")), "inside": ((4, "q"), (1, "q")), "unit": ((0, "u"), (1, "u")),
+    "shown_n": ((2, "n"), (1, "n")), "shown_q": ((2, "q"), (1, "q")), "shown_u": ((2, "u"), (1, "u")), "meant_n": ((0, "n"), (3, "n")), "meant_q": ((0, "q"), (3, "q")), "meant_u": ((0, "u"), (3, "u")),
+}
+
+
+def compare_answers(rows: DataFrame, name: str, predicted: Column, reference: Column, prompt: Column, strict: Column) -> DataFrame:
+    """`rows` with `name`, a struct(equal, method): whether two answers mean the same, by the first rule that
+    says so.
 
     `strict` tells that their normal forms are equal. Null predictions equal nothing; a null prompt offers
-    no options and names no percent.
+    no options and names no percent. Texts are read once, in a stage of their own.
     """
     asked = F.coalesce(prompt, F.lit(""))
     letter = lambda v: F.nullif(F.upper(F.regexp_extract(strip(v), CHOICE, 1)), F.lit(""))
     options = F.when(asked.rlike(r"[A-Ea-e][.):]"), choice_options(asked))
-    # all texts are read by one expression, so the plan holds it once
     texts = let(
         F.struct(predicted.alias("p"), reference.alias("r"), options.alias("o")),
         lambda x: F.array(x["p"], x["r"], F.try_element_at(x["o"], letter(x["p"])), F.try_element_at(x["o"], letter(x["r"])), _embedded(x["p"])),
     )
-
-    def verdict(x: Column) -> Column:
-        p, r, shown_p, shown_r, inside = (F.get(x, i) for i in range(5))
-        percent = F.lower(asked).rlike("percent|%") & ((p["s"] == r["q"]) | (r["s"] == p["q"]))
-        same = lambda a, b: F.coalesce(a["n"] == b["n"], F.lit(False)) | F.coalesce(a["q"] == b["q"], F.lit(False)) | F.coalesce(a["u"] == b["u"], F.lit(False))
-        return (
-            F.when(predicted.isNull(), "no_prediction")
-            .when(strict, "strict_exact")
-            .when(p["q"] == r["q"], "numeric_equivalent")
-            .when(percent, "percent_context_equivalent")
-            .when(inside["q"] == r["q"], "embedded_numeric_equivalent")
-            .when(p["u"] == r["u"], "unit_stripped_exact")
-            .when(same(shown_p, r), "choice_letter_to_content")
-            .when(same(p, shown_r), "choice_content_to_letter")
-            .otherwise("none")
-        )
-
-    method = let(F.transform(texts, lambda t: F.when(t.isNotNull(), _reading(t))), verdict)
-    return let(method, lambda m: F.struct((~m.isin("no_prediction", "none")).alias("equal"), m.alias("method")))
+    # once the answers are strictly equal, or one is missing, nothing needs to be read
+    open_ = ~F.coalesce(strict, F.lit(False)) & predicted.isNotNull()
+    kept = rows.columns
+    told = once(rows, _texts=F.when(open_, texts), _strict=F.coalesce(strict, F.lit(False)), _missing=predicted.isNull(), _percent=F.lower(asked).rlike("percent|%"))
+    read = once(told, _read=F.transform("_texts", lambda t: F.when(t.isNotNull(), _reading(t))))
+    side = lambda at: F.get("_read", at[0])[at[1]]
+    any_long = F.exists("_read", lambda t: _is_long(t["n"]) | _is_long(t["q"]) | _is_long(t["u"]) | _is_long(t["s"]))
+    pairs = F.array(*[F.when(side(a).isNotNull() & side(b).isNotNull(), _pair(side(a), side(b))) for a, b in PAIRS.values()])
+    judged = read.withColumn("_pairs", F.when(any_long, pairs)).withColumn("_long", _same_long("_pairs"))
+    same = {k: F.coalesce(F.get("_long", i), _same_short(side(a), side(b)), F.lit(False)) for i, (k, (a, b)) in enumerate(PAIRS.items())}
+    method = (
+        F.when(F.col("_missing"), "no_prediction")
+        .when(F.col("_strict"), "strict_exact")
+        .when(same["value"], "numeric_equivalent")
+        .when(F.col("_percent") & (same["percent"] | same["of_percent"]), "percent_context_equivalent")
+        .when(same["inside"], "embedded_numeric_equivalent")
+        .when(same["unit"], "unit_stripped_exact")
+        .when(same["shown_n"] | same["shown_q"] | same["shown_u"], "choice_letter_to_content")
+        .when(same["meant_n"] | same["meant_q"] | same["meant_u"], "choice_content_to_letter")
+        .otherwise("none")
+    )
+    told = judged.withColumn("_method", method)
+    return told.withColumn(name, F.struct((~F.col("_method").isin("no_prediction", "none")).alias("equal"), F.col("_method").alias("method"))).select(*kept, name)
 
 
 def match_text(messages: Column) -> Column:

@@ -18,11 +18,10 @@ def score(generations: DataFrame) -> DataFrame:
             "_p": A.extract_answer(F.coalesce("generated_text", F.lit("")), F.col("finish_reason")),
             "_g": A.gold_answer(F.col("answer"), F.coalesce("reference_answer", F.lit(""))),
         }
-    ).withColumns({"normalized_predicted_answer": A.normalize_answer(F.col("_p.answer")), "normalized_reference_answer": A.normalize_answer(F.col("_g.answer"))})
-    strict = F.coalesce(F.col("normalized_predicted_answer") == F.col("normalized_reference_answer"), F.lit(False))
-    matched = drawn.withColumn("strict_exact_match", strict).withColumn(
-        "_m", A.compare_answers(F.col("_p.answer"), F.col("_g.answer"), A.match_text(F.col("prompt_messages")), F.col("strict_exact_match"))
     )
+    drawn = A.with_normal(drawn, normalized_predicted_answer=F.col("_p.answer"), normalized_reference_answer=F.col("_g.answer"))
+    strict = F.coalesce(F.col("normalized_predicted_answer") == F.col("normalized_reference_answer"), F.lit(False))
+    matched = A.compare_answers(drawn.withColumn("strict_exact_match", strict), "_m", F.col("_p.answer"), F.col("_g.answer"), A.match_text(F.col("prompt_messages")), F.col("strict_exact_match"))
     return matched.withColumns(
         {
             "predicted_answer": F.col("_p.answer"),

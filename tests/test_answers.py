@@ -27,11 +27,13 @@ EXTRACT = [
     (None, "eos", None, "not_found"),
     ("\\boxed{}\n#### 4", "eos", "4", "hash_answer"),
     ("\\boxed{" + "x" * 6000 + "}", "eos", "x" * 6000, "boxed"),
+    ("\\boxed{1} \\boxed{" + "{" * 60 + "7" + "}" * 60 + "} \\boxed{open", "eos", "{" * 60 + "7" + "}" * 60, "boxed"),
+    ("\\fbox{a\\boxed{" + "{" * 30 + "}" * 30 + "b}}", "eos", "{" * 30 + "}" * 30 + "b", "boxed"),
 ]
 
 NORMAL = [
     ("1,000.50", "1000.5"), ("1,2", "12"), ("\\frac{2}{4}", "1/2"), ("6/3", "2"), ("-4/-2", "2"), ("1/0", "1/0"), ("\\left(1, 2\\right)", "(1,2)"),
-    ("x = 5", "5"), ("(b)", "B"), ("$7$.", "7"), ("007", "7"), ("-0", "0"), ("50%", "50%"), ("", None), ("$", None), (None, None), ("-0.50", "-0.5"), ("3/-6", "-1/2"),
+    ("x = 5", "5"), ("(b)", "B"), ("$7$.", "7"), ("007", "7"), ("-0", "0"), ("50%", "50%"), ("", None), ("$", None), (None, None), ("-0.50", "-0.5"), ("3/-6", "-1/2"), (f"{10**30}/{10**31}", "1/10"), ("0/7", "0"), ("+5/10", "1/2"), ("-6" + "0" * 5000 + "/4" + "0" * 5000, "-3/2"),
 ]
 
 COMPARE = [
@@ -48,6 +50,10 @@ COMPARE = [
     ("20", "B", "Pick:\nA. 10\nB. 20", False, True, "choice_content_to_letter"),
     ("7", "8", "", False, False, "none"),
     ("7", "", "", False, False, "none"),
+    (f"{2 * 10**40}/{4 * 10**40}", "0.5", "", False, True, "numeric_equivalent"),
+    ("0." + "3" * 40, "0." + "3" * 39, "", False, False, "none"),
+    ("0." + "3" * 40 + "0", "0." + "3" * 40, "", False, True, "numeric_equivalent"),
+    ("1" + "0" * 30 + "%", "1" + "0" * 28, "", False, True, "numeric_equivalent"),
 ]
 
 
@@ -59,13 +65,13 @@ def test_extraction(spark):
 
 def test_normal_forms(spark):
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NORMAL)], "i int, t string")
-    got = rows.select("i", A.normalize_answer(F.col("t")).alias("x")).orderBy("i").collect()
+    got = A.with_normal(rows, x=F.col("t")).orderBy("i").collect()
     assert [r.x for r in got] == [e[1] for e in NORMAL]
 
 
 def test_equivalence(spark):
     rows = spark.createDataFrame([(i, *e[:4]) for i, e in enumerate(COMPARE)], "i int, p string, r string, m string, s boolean")
-    got = rows.select("i", A.compare_answers(F.col("p"), F.col("r"), F.col("m"), F.col("s")).alias("x")).orderBy("i").collect()
+    got = A.compare_answers(rows, "x", F.col("p"), F.col("r"), F.col("m"), F.col("s")).orderBy("i").collect()
     assert [(r.x.equal, r.x.method) for r in got] == [e[4:] for e in COMPARE]
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.answers import WEAK_METHODS
 from ..plans.settings import Settings
-from .prepare import count_tokens, first_reason, pair_length_reason, window_first
+from ..plans.durable import written
+from .prepare import count_tokens, first_reason, pair_length_reason
+from .ranking import ranged_rank
+from .skew import lookup_join
 
 # What the way an answer was found is worth.
 METHOD_BONUS = {"boxed": 0.03, "labeled_answer": 0.02, "hash_answer": 0.02, "final_line_choice": 0.01, "final_line_numeric": 0.005}
@@ -31,9 +33,10 @@ def average(values: Column) -> Column:
 
 
 def with_ids(candidates: DataFrame) -> DataFrame:
-    """Candidates with `candidate_index` (0-based by `arrival` within source and split) and their id."""
-    index = F.row_number().over(W.partitionBy("source_id", "split").orderBy("arrival")) - 1
-    made = candidates.withColumn("candidate_index", index)
+    """Candidates with `candidate_index` (0-based by `arrival` within source and split) and their id.
+
+    One source may hold a third of all candidates, so they are ranked by ranges."""
+    made = ranged_rank(candidates, ["arrival"], ("source_id", "split"), "candidate_index").withColumn("candidate_index", F.col("candidate_index").cast("int"))
     return made.withColumn("id", F.concat("source_id", F.lit("_"), "split", F.lit("_cand_"), F.format_string("%02d", F.col("candidate_index"))))
 
 
@@ -45,10 +48,13 @@ def candidate_reasons(candidates: DataFrame) -> DataFrame:
     """
     said = candidates.withColumn("_text", T.strip(F.coalesce("generated_text", F.lit(""))))
     said = said.withColumn("_key", F.when(F.col("_text") != "", T.compare_key(F.col("_text"))))
-    first = window_first(said, ["source_id", "split", "_key"], F.col("candidate_index"), "_first")
+    # the first index of each text is a map-side minimum; with the index in the join key no text is hot
+    said = said.withColumn("_digest", F.when(F.col("_key").isNotNull(), F.md5(F.concat_ws("\u001f", "source_id", "split", "_key"))))
+    seen = said.where("_digest is not null").groupBy("_digest").agg(F.min("candidate_index").alias("candidate_index"))
+    first = said.join(seen.withColumn("_first", F.lit(True)), ["_digest", "candidate_index"], "left")
     checks = [
         (F.col("_text") == "", "empty_text"),
-        (~F.col("_first"), "duplicate_text"),
+        (F.col("_first").isNull(), "duplicate_text"),
         (~F.col("finish_reason").eqNullSafe("eos"), "not_eos"),
         (F.coalesce("hit_max_new_tokens", F.lit(False)), "hit_max_new_tokens"),
         (~F.coalesce("answer_extracted", F.lit(False)), "no_answer"),
@@ -56,14 +62,15 @@ def candidate_reasons(candidates: DataFrame) -> DataFrame:
         (F.coalesce("math_equivalent", F.lit(False)), "correct_answer"),
         (T.abnormal(F.col("_text")), "abnormal_output"),
     ]
-    return first.withColumn("reason", first_reason(checks)).drop("_text", "_key", "_first")
+    return first.withColumn("reason", first_reason(checks)).drop("_text", "_key", "_first", "_digest")
 
 
 def joined_reasons(sources: DataFrame, candidates: DataFrame, settings: Settings) -> DataFrame:
     """Candidates of the sources (source_id, split, sft_row_id, prompt, completion), each source once, with
     their reason, score and token counts. Sources that come again are left out (`first_sources`)."""
-    judged = candidate_reasons(candidates.drop("prompt", "completion", "sft_row_id"))
-    both = judged.join(sources.select("source_id", "split", "sft_row_id", "prompt", "completion"), ["source_id", "split"])
+    place = F.concat_ws("\u001f", "source_id", "split")
+    judged = written(candidate_reasons(candidates.drop("prompt", "completion", "sft_row_id")).withColumn("_place", place), "judged")
+    both = lookup_join(judged, sources.select(place.alias("_place"), "sft_row_id", "prompt", "completion"), "_place").drop("_place")
     said = F.array(T.message("assistant", T.strip(F.col("generated_text"))))
     counted = both.withColumns(
         {
@@ -83,6 +90,14 @@ def first_sources(rows: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("source_id", "split").agg(F.min_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
 
 
+def duplicate_sources(rows: DataFrame, order: str) -> DataFrame:
+    """The rows that `first_sources` leaves out, with their reason. `order` must be unique."""
+    first = first_sources(rows, order).select("source_id", "split", F.col(order).alias("_first"))
+    same = (F.col("source_id") == F.col("_s")) & F.col("split").eqNullSafe(F.col("_split")) & (F.col(order) == F.col("_first"))
+    kept = first.withColumnsRenamed({"source_id": "_s", "split": "_split"})
+    return rows.join(kept, same, "left_anti").withColumn("reason", F.lit("duplicate_source_row"))
+
+
 def select_pairs(judged: DataFrame, settings: Settings) -> DataFrame:
     """The best rejected answer of each source: greatest score, the earlier candidate of equal ones."""
     order = F.struct(F.col("score"), -F.col("candidate_index"))

@@ -276,10 +276,17 @@ def leakage(rows: DataFrame, key: str = "source_id") -> DataFrame:
     return rows.groupBy(key).agg(F.min("split").alias("first_split"), F.max("split").alias("last_split")).where("first_split <> last_split")
 
 
-def prefix_mismatches(small: DataFrame, full: DataFrame) -> DataFrame:
-    """Rows of the mini sets that aren't the row of the same rank of the full one."""
-    f = full.select("split", "split_rank", F.col("source_id").alias("full_source_id"))
-    return small.select("split", "split_rank", "source_id").join(f, ["split", "split_rank"], "left").where(~F.col("source_id").eqNullSafe(F.col("full_source_id")))
+def prefix_mismatches(small: DataFrame, full: DataFrame, settings: Settings) -> DataFrame:
+    """Where the mini sets aren't the first rows of the formal ones: rows of another source than the formal row
+    of their split and rank, and formal rows that should stand in a mini set and don't (`source_id` null)."""
+    wanted = mini(full, settings).select("split", "split_rank", F.col("source_id").alias("full_source_id"))
+    met = small.select("split", "split_rank", "source_id").join(wanted, ["split", "split_rank"], "full")
+    return met.where(~F.col("source_id").eqNullSafe(F.col("full_source_id")))
+
+
+def length_violations(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows that `settings` find too long, with the reason."""
+    return rows.withColumn("reason", length_reason(settings)).where("reason is not null")
 
 
 def first_rows(rows: DataFrame, n: int | None, order: str) -> DataFrame:

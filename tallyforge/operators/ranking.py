@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.durable import written
+
 
 def bucketed_rank(rows: DataFrame, bucket: Column, order: list[Column], within: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
     """`rows` with a 0-based dense rank per `within`, ordered by `bucket`, then `order`.
@@ -25,3 +27,13 @@ def bucketed_rank(rows: DataFrame, bucket: Column, order: list[Column], within:
         same = same & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
     drop = ["_bucket", "_local", "_b", "_start", *[f"_w_{c}" for c in within]]
     return local.join(starts, same).withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint")).drop(*drop)
+
+
+def ranged_rank(rows: DataFrame, order: list[str], within: tuple[str, ...], name: str = "rank") -> DataFrame:
+    """`rows` with a 0-based dense rank by `order` per `within`, where one group may hold a third of all rows.
+
+    Rows are cut into ranges of (within, order) by sampled bounds and written with the number of their range,
+    which then serves as the bucket, so a task never sorts more than a range. Nulls come first.
+    """
+    cut = rows.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id())
+    return bucketed_rank(written(cut, "ranges"), F.col("_range"), [F.col(c) for c in order], within, name).drop("_range")

@@ -14,12 +14,18 @@ from ..operators import pairs as P
 from ..operators import prepare as R
 from ..operators import scoring as S
 from ..operators.skew import spread
+from ..operators.ranking import ranged_rank
 from ..sources.files import json_safe
-from ..sources.tables import read_table
+from ..sources.tables import latest_delivery, plain_split, read_table
+from .durable import written
+from .runs import gate_reason
 from .settings import Settings
 
 #: The formal run; the tests hold the queries against their SQL under tight values too.
 SETTINGS = Settings()
+#: Raw rows for which the formal targets hold; other tables get targets in proportion, so that each set has
+#: rows at every size and some are left in reserve. None leaves the targets as they are.
+PER_ROWS: int | None = 12_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,8 +40,12 @@ def _raw(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "raw_rows").select("raw_row_index", "prompt", "initial_reason_steps", "full_chosen", "full_rejected", "answer", "dataset")
 
 
+def _settings(spark: SparkSession, folder: str) -> Settings:
+    return SETTINGS.scaled(read_table(spark, folder, "raw_rows").count(), PER_ROWS) if PER_ROWS else SETTINGS
+
+
 def _split(spark: SparkSession, folder: str) -> DataFrame:
-    return R.split_rows(R.prepared(_raw(spark, folder), SETTINGS), SETTINGS)
+    return R.split_rows(written(R.prepared(_raw(spark, folder), SETTINGS), "prepared"), _settings(spark, folder))
 
 
 # --- text --------------------------------------------------------------------------------------------
@@ -163,7 +173,7 @@ def stable_split(spark, folder):
 @query
 def allocate_splits(spark, folder):
     n = R.prepared(_raw(spark, folder), SETTINGS).agg(F.count(F.lit(1)).alias("available"))
-    sizes = R.allocation(F.col("available"), SETTINGS)
+    sizes = R.allocation(F.col("available"), _settings(spark, folder))
     return n.select("available", *[c.alias(k) for k, c in sizes.items()])
 
 
@@ -180,37 +190,66 @@ def split_manifest(spark, folder):
 
 @query
 def dataset_counts(spark, folder):
-    return R.dataset_counts(_split(spark, folder), SETTINGS)
+    return R.dataset_counts(_split(spark, folder), _settings(spark, folder))
 
 
 @query
 def shortfall_counts(spark, folder):
-    return R.shortfall(R.dataset_counts(_split(spark, folder), SETTINGS), SETTINGS)
+    """Against twice the targets, so that sets fall short."""
+    settings = _settings(spark, folder)
+    return R.shortfall(R.dataset_counts(_split(spark, folder), settings), settings.scaled(2, 1))
 
 
 @query
 def mini_prefix(spark, folder):
-    return R.mini(_split(spark, folder), SETTINGS).select("split", "split_rank", "source_id")
+    return R.mini(_split(spark, folder), _settings(spark, folder)).select("split", "split_rank", "source_id")
 
 
 @query
 def mini_length_violations(spark, folder):
-    small = R.mini(_split(spark, folder), SETTINGS)
+    small = R.mini(_split(spark, folder), _settings(spark, folder))
     tighter = Settings(max_length=180, max_prompt_length=120, max_pair_length=190)
-    return small.select("split", "split_rank", R.length_reason(tighter).alias("reason")).where("reason is not null")
+    return R.length_violations(small, tighter).select("split", "split_rank", "reason")
 
 
 @query
 def mini_prefix_check(spark, folder):
-    rows = _split(spark, folder)
-    return R.prefix_mismatches(R.mini(rows, SETTINGS), rows)
+    """A mini set that lost every seventh row and got another source in every fifth."""
+    settings = _settings(spark, folder)
+    rows = written(_split(spark, folder), "split")
+    small = R.mini(rows, settings).where("split_rank % 7 <> 3")
+    damaged = small.withColumn("source_id", F.when(F.col("split_rank") % 5 == 1, F.concat(F.lit("x"), "source_id")).otherwise(F.col("source_id")))
+    return R.prefix_mismatches(damaged, rows, settings)
+
+
+def _delivered(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
+    """Each id of a delivered table once, its split in plain spelling."""
+    kept = {c: F.col(c) for c in columns} | {"split": plain_split(F.col("split"), F.col("id"))}
+    return latest_delivery(read_table(spark, folder, table), "id", "loaded_at", kept)
 
 
 @query
 def split_leakage(spark, folder):
-    """Sources of the delivered tables that stand in more than one split, as spelled."""
-    sft = read_table(spark, folder, "sft_rows").select("source_id", "split")
-    return R.leakage(sft.unionByName(read_table(spark, folder, "evaluation_rows").select("source_id", "split")).withColumn("split", F.lower(F.trim("split"))))
+    """Sources of the delivered tables that stand in more than one split, however those are spelled."""
+    rows = _delivered(spark, folder, "sft_rows", "source_id").unionByName(_delivered(spark, folder, "evaluation_rows", "source_id"))
+    return R.leakage(rows.unionByName(_delivered(spark, folder, "dpo_rows", "source_id")))
+
+
+@query
+def field_filter_reasons(spark, folder):
+    """Every reason of the field filter, on rows whose fields are damaged in turn."""
+    k = F.col("raw_row_index") % 20
+    raw = _raw(spark, folder)
+    for i, f in enumerate(R.FIELDS):
+        raw = raw.withColumn(f, F.when(k == 2 * i, F.lit(None)).when(k == 2 * i + 1, F.lit(" \t ")).otherwise(F.col(f)))
+    steps, chosen = F.col("initial_reason_steps"), F.col("full_chosen")
+    raw = raw.withColumns(
+        {
+            "full_chosen": F.when(k == 10, F.concat(F.lit(" "), steps, F.lit(" then more"))).otherwise(chosen),
+            "full_rejected": F.when(k == 11, F.concat(F.upper(steps), F.lit(" or less"))).when(k == 12, F.concat(F.lit("  "), chosen)).otherwise(F.col("full_rejected")),
+        }
+    )
+    return R.field_reason(raw, SETTINGS).select("raw_row_index", "reason")
 
 
 @query
@@ -246,22 +285,24 @@ def limit_rows(spark, folder):
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "sft_rows").where("prompt is not null and completion is not null")
-    made = rows.select("source_id", F.lower(F.trim("split")).alias("split"), F.col("id").alias("sft_row_id"), "prompt", "completion", F.concat("id", F.lit("|"), F.col("loaded_at").cast("string")).alias("arrival"))
-    return made
+    rows = _delivered(spark, folder, "sft_rows", "source_id", "prompt", "completion").where("prompt is not null and completion is not null")
+    return rows.select("source_id", "split", F.col("id").alias("sft_row_id"), "prompt", "completion", F.col("id").alias("arrival"))
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Both answers of the preference rows stand in for sampled ones; what a generation run would report
-    (finish, extraction, scores) is derived from the text's length."""
-    rows = read_table(spark, folder, "dpo_rows")
+    """Both answers of the preference rows, and the supervised ones in capitals, stand in for sampled ones; what
+    a generation run would report (finish, extraction, scores) is derived from the text's length."""
+    rows = _delivered(spark, folder, "dpo_rows", "source_id", "chosen", "rejected")
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.get(c, 0)["content"].alias("t")) for k, c in ((0, "chosen"), (1, "rejected"))])).alias("v")
-    said = rows.select("source_id", F.lower(F.trim("split")).alias("split"), F.concat("id", F.lit("|"), F.col("loaded_at").cast("string")).alias("a"), both)
+    said = rows.select("source_id", "split", F.col("id").alias("a"), both)
+    own = _delivered(spark, folder, "sft_rows", "source_id", "completion")
+    again = F.struct(F.lit(2).alias("k"), F.upper(F.get("completion", 0)["content"]).alias("t")).alias("v")
+    said = said.unionByName(own.select("source_id", "split", F.col("id").alias("a"), again))
     n = F.coalesce(F.length("v.t"), F.lit(0))
     methods = F.array(*[F.lit(m) for m in ("boxed", "hash_answer", "labeled_answer_line", "labeled_answer", "final_line_choice", "final_line_numeric", "tail_number", "not_found")])
     made = said.select(
         "source_id", "split", F.concat("a", F.lit("|"), F.col("v.k").cast("string")).alias("arrival"), F.col("v.t").alias("generated_text"),
-        F.when(n % 7 == 0, "length").otherwise("eos").alias("finish_reason"), (n % 14 == 0).alias("hit_max_new_tokens"), (n % 11 != 0).alias("answer_extracted"),
+        F.when(n % 7 == 0, "length").otherwise("eos").alias("finish_reason"), (n % 9 == 4).alias("hit_max_new_tokens"), (n % 11 != 0).alias("answer_extracted"),
         F.get(methods, n % 8).alias("extraction_method"), (n % 5 == 0).alias("math_equivalent"), F.when(n % 13 != 0, -(n % 100) / F.lit(100.0)).alias("average_logprob"), (n % 400).alias("output_tokens"),
     )
     return P.with_ids(made)
@@ -329,8 +370,18 @@ def total_report(spark, folder):
 
 @query
 def mini_pairs(spark, folder):
-    small = P.first_sources(_sources(spark, folder), "arrival").where("source_id < '4'")
-    return P.mini_pairs(_pairs(spark, folder), small).select("id", "split")
+    """Pairs of the sources in the mini set: the first of each split by id, as many as it takes."""
+    ranked = ranged_rank(P.first_sources(_sources(spark, folder), "arrival"), ["sft_row_id"], ("split",))
+    most = F.when(F.col("split") == "train", PAIRS.mini_train).when(F.col("split") == "validation", PAIRS.mini_validation)
+    return P.mini_pairs(_pairs(spark, folder), ranked.where(F.col("rank") < most)).select("id", "split")
+
+
+@query
+def duplicate_sources(spark, folder):
+    """Supervised rows as delivered, again or not, that aren't the first of their source and split."""
+    arrival = F.concat("id", F.lit("|"), F.col("loaded_at").cast("string"))
+    rows = read_table(spark, folder, "sft_rows").select("source_id", plain_split(F.col("split"), F.col("id")).alias("split"), arrival.alias("arrival"))
+    return P.duplicate_sources(rows, "arrival").select("arrival", "reason")
 
 
 @query
@@ -358,7 +409,7 @@ def gold_reference(spark, folder):
 
 @query
 def normalize_answer(spark, folder):
-    return _raw(spark, folder).select("raw_row_index", A.normalize_answer(F.col("answer")).alias("normalized"))
+    return A.with_normal(_raw(spark, folder).select("raw_row_index", "answer"), normalized=F.col("answer")).select("raw_row_index", "normalized")
 
 
 def _numbers(spark: SparkSession, folder: str) -> DataFrame:
@@ -378,14 +429,14 @@ def _numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def answer_rational(spark, folder):
-    return _numbers(spark, folder).select("l_orderkey", "l_linenumber", A.rational(F.col("written")).alias("value"))
+    return A.with_rational(_numbers(spark, folder), value=F.col("written")).select("l_orderkey", "l_linenumber", "value")
 
 
 @query
 def compare_answers(spark, folder):
     rows = _numbers(spark, folder)
-    x = A.compare_answers(F.col("written"), F.col("q"), F.when(F.col("l_linenumber") == 1, "What percent is left?"), F.col("written") == F.col("q"))
-    return rows.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", F.col("x.equal").alias("equal"), F.col("x.method").alias("method"))
+    asked = F.when(F.col("l_linenumber") == 1, "What percent is left?")
+    return A.compare_answers(rows, "x", F.col("written"), F.col("q"), asked, F.col("written") == F.col("q")).select("l_orderkey", "l_linenumber", F.col("x.equal").alias("equal"), F.col("x.method").alias("method"))
 
 
 @query
@@ -394,10 +445,68 @@ def choice_match(spark, folder):
     prompt = F.concat(F.lit("Which size?\nA. "), F.col("p_size").cast("string"), F.lit("\n(B) "), (F.col("p_size") + 1).cast("string"), F.lit("\nC: "), (F.col("p_size") + 2).cast("string"), F.lit("."))
     given = F.when(F.col("p_partkey") % 3 == 0, "B").when(F.col("p_partkey") % 3 == 1, (F.col("p_size") + 2).cast("string")).otherwise("(a)")
     wanted = F.when(F.col("p_partkey") % 3 == 0, (F.col("p_size") + 1).cast("string")).when(F.col("p_partkey") % 3 == 1, "C").otherwise((F.col("p_size") + 1).cast("string"))
-    made = rows.select("p_partkey", A.compare_answers(given, wanted, prompt, F.lit(False)).alias("x"))
+    made = A.compare_answers(rows, "x", given, wanted, prompt, F.lit(False))
     return made.select("p_partkey", F.col("x.equal").alias("equal"), F.col("x.method").alias("method"))
 
 
+@query
+def match_methods(spark, folder):
+    """Every way in which two answers can match, in turn over the parts."""
+    rows = read_table(spark, folder, "part").select("p_partkey", "p_size")
+    k, n = F.col("p_partkey") % 11, F.col("p_size").cast("string")
+    more = (F.col("p_size") + 1).cast("string")
+    long = F.concat(n, F.lit("0" * 30))
+    pairs = [
+        (F.lit(None).cast("string"), n, None), (n, n, None), (F.concat(n, F.lit(".50")), F.concat((F.col("p_size") * 2 + 1).cast("string"), F.lit("/2")), None),
+        (F.concat(n, F.lit("%")), n, "What percent is left?"), (F.concat(F.lit("It is "), n, F.lit(" boxes")), n, None),
+        (F.concat(n, F.lit("\\sqrt{2}\\text{ cm}")), F.concat(n, F.lit("\\sqrt{2}")), None), ("B", more, "options"), (more, "(b)", "options"), (more, n, None),
+        (F.concat(long, F.lit("/"), long), F.lit("1"), None), (F.concat(long, F.lit("1/"), long), F.lit("1"), None),
+    ]
+    options = F.concat(F.lit("Which size?\nA. "), n, F.lit("\n(B) "), more, F.lit("."))
+    given = wanted = asked = None
+    for i, (p, r, prompt) in enumerate(pairs):
+        text = options if prompt == "options" else F.lit(prompt)
+        p, r = (F.lit(x) if isinstance(x, str) else x for x in (p, r))
+        given = F.when(k == i, p) if given is None else given.when(k == i, p)
+        wanted = F.when(k == i, r) if wanted is None else wanted.when(k == i, r)
+        asked = F.when(k == i, text) if asked is None else asked.when(k == i, text)
+    made = A.compare_answers(rows.withColumns({"given": given, "wanted": wanted, "asked": asked}), "x", F.col("given"), F.col("wanted"), F.col("asked"), k == 1)
+    return made.select("p_partkey", F.col("x.equal").alias("equal"), F.col("x.method").alias("method"))
+
+
+@query
+def extraction_methods(spark, folder):
+    """Every way in which an answer is found, in turn over the parts, and what a reference would take from it."""
+    rows = read_table(spark, folder, "part").select("p_partkey", "p_size")
+    k, n = F.col("p_partkey") % 10, F.col("p_size").cast("string")
+    filler = "\nthen\nthen\nthen\nthen\nthen"
+    texts = [
+        F.concat(F.lit("so \\boxed{\\frac{"), n, F.lit("}{7}}.")), F.concat(F.lit("work\n#### "), n), F.concat(F.lit("The answer is: "), n, F.lit(".")), F.concat(F.lit("answer: "), n, F.lit(filler)),
+        F.lit("we take\n(C)"), F.concat(F.lit("we get\n"), n, F.lit("/9")), F.concat(F.lit("about "), n, F.lit(" apples in all")), F.lit("no digits here"),
+        F.concat(F.lit("we get\n"), n), F.concat(F.lit("\\boxed{"), F.lit("{" * 30), n, F.lit("}" * 30), F.lit("}")),
+    ]
+    text = None
+    for i, t in enumerate(texts):
+        text = F.when(k == i, t) if text is None else text.when(k == i, t)
+    cut = F.when(k == 8, "length").otherwise("eos")
+    made = rows.withColumn("text", text).select("p_partkey", A.extract_answer(F.col("text"), cut).alias("x"), A.gold_answer(F.lit(None).cast("string"), F.col("text")).alias("g"))
+    return made.select("p_partkey", "x.answer", "x.method", F.col("g.answer").alias("gold"), F.col("g.method").alias("gold_method"))
+
+
+@query
+def run_gate(spark, folder):
+    """Records of runs made of orders, held against what the next stage expects."""
+    k = F.col("o_orderkey")
+    rows = read_table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(k % 31 != 0, F.when(k % 7 == 0, "failed").otherwise("completed")).alias("status"), F.when(k % 11 == 0, "dpo").when(k % 11 != 1, "sft").alias("training_stage"), F.when(k % 3 == 0, "formal").when(k % 13 == 0, "mini").alias("run_mode"),
+        F.when(k % 17 == 0, "r2").when(k % 17 < 9, "r1").alias("revision"), F.when(k % 19 == 0, "other/model").when(k % 19 < 4, "").otherwise("some/model").alias("model_name"), (k % 23 == 0).alias("smoke_test"),
+        F.create_map(F.lit("sft"), F.when(k % 5 == 0, "/sets/mini/sft").otherwise("/sets/formal/sft")).alias("dataset_paths"), (k % 29 != 0).alias("has_adapter"), (k % 37 != 0).alias("has_tokenizer"),
+    )
+    reason = gate_reason("sft", F.lit("sft"), F.lit("formal"), F.lit("r1"), F.lit("some/model"), F.lit(False))
+    return rows.select("o_orderkey", reason.alias("reason"))
+
+
 @query
 def finish_reason(spark, folder):
     rows = read_table(spark, folder, "lineitem")
@@ -487,4 +596,4 @@ def queries() -> dict[str, Query]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Raw rows to counted sets: scan, clean, dedupe, filter, order, allocate, count."""
-    return R.dataset_counts(_split(spark, folder), SETTINGS)
+    return R.dataset_counts(_split(spark, folder), _settings(spark, folder))

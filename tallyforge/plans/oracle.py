@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators.pairs import METHOD_BONUS
-from .catalog import PAIRS, SETTINGS
+from .catalog import PAIRS, PER_ROWS, SETTINGS
 
+# What the way an answer was found is worth; forms of white space, tokens, line ends and answers.
+METHOD_BONUS = {"boxed": 0.03, "labeled_answer": 0.02, "hash_answer": 0.02, "final_line_choice": 0.01, "final_line_numeric": 0.005}
 WS = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 LINE_END = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -17,6 +18,10 @@ REAL = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
 SIMPLE = r"[-+]?\d+(?:\.\d+)?"
 
 
+def target(n: int) -> str:
+    return f"({n} * (SELECT count(*) FROM raw_rows) // {PER_ROWS})" if PER_ROWS else str(n)
+
+
 def let(x: str, v: str, body: str) -> str:
     return f"list_transform([{x}], lambda {v}: {body})[1]"
 
@@ -181,11 +186,11 @@ LONG = long_reason(SETTINGS.max_length, SETTINGS.max_prompt_length, SETTINGS.max
 KEPT = f"""{RAW}, reps AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY normalized_prompt ORDER BY {ROW_KEY}) AS k FROM judged WHERE reason IS NULL) WHERE k = 1),
 sized AS (SELECT * FROM {solved('reps')})"""
 SPLIT = f"""{KEPT}, ranked AS (SELECT *, sha256(normalized_prompt) AS source_id, {SPLIT_KEY} AS split_key, row_number() OVER (ORDER BY {SPLIT_KEY}) - 1 AS rank, count(*) OVER () AS n FROM sized WHERE {LONG} IS NULL),
-sizes AS (SELECT *, least({SETTINGS.evaluation}, n) AS e, least({SETTINGS.validation}, n - least({SETTINGS.evaluation}, n)) AS v FROM ranked),
-trains AS (SELECT *, least({SETTINGS.train}, n - e - v) AS t FROM sizes),
+sizes AS (SELECT *, least({target(SETTINGS.evaluation)}, n) AS e, least({target(SETTINGS.validation)}, n - least({target(SETTINGS.evaluation)}, n)) AS v FROM ranked),
+trains AS (SELECT *, least({target(SETTINGS.train)}, n - e - v) AS t FROM sizes),
 split AS (SELECT *, CASE WHEN rank < t THEN 'train' WHEN rank < t + v THEN 'validation' WHEN rank < t + v + e THEN 'evaluation' ELSE 'reserve' END AS split,
   rank - CASE WHEN rank < t THEN 0 WHEN rank < t + v THEN t WHEN rank < t + v + e THEN t + v ELSE t + v + e END AS split_rank FROM trains)"""
-MINI = "split_rank < CASE split " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in SETTINGS.mini.items()) + " END"
+MINI = "split_rank < CASE split " + " ".join(f"WHEN '{k}' THEN {target(n)}" for k, n in SETTINGS.mini.items()) + " END"
 ID = f"'{SETTINGS.id_prefix}_' || split || '_' || CASE WHEN split_rank < 100000 THEN lpad(split_rank::VARCHAR, 5, '0') ELSE split_rank::VARCHAR END"
 PAIRED = f"""(SELECT split, split_rank, source_id, raw_row_index, dataset, answer, {ID} AS id, model_input, full_positive, full_negative, prompt_tokens, chosen_tokens, rejected_tokens FROM split)"""
 GRID = "(VALUES " + ", ".join(
@@ -194,7 +199,7 @@ GRID = "(VALUES " + ", ".join(
 COUNTS = f"""{SPLIT}, counted AS (SELECT 'formal' AS mode, split, count(*) AS n FROM split GROUP BY split UNION ALL SELECT 'mini', split, count(*) FROM split WHERE {MINI} GROUP BY split),
 counts AS (SELECT g.mode, g.kind, g.split, coalesce(n, 0)::BIGINT AS rows FROM {GRID} LEFT JOIN counted c ON c.mode = g.mode AND c.split = g.split)"""
 TARGET = "CASE " + " ".join(
-    f"WHEN mode = '{m}' AND split = '{s}' THEN {n}" for m, sizes in (("formal", {"train": SETTINGS.train, "validation": SETTINGS.validation, "evaluation": SETTINGS.evaluation}), ("mini", SETTINGS.mini)) for s, n in sizes.items()
+    f"WHEN mode = '{m}' AND split = '{s}' THEN {target(n)} * 2" for m, sizes in (("formal", {"train": SETTINGS.train, "validation": SETTINGS.validation, "evaluation": SETTINGS.evaluation}), ("mini", SETTINGS.mini)) for s, n in sizes.items()
 ) + " END"
 
 TOKENS = f"regexp_extract_all(lower(text), '{TOKEN}')"
@@ -211,14 +216,22 @@ def abnormal(t: str) -> str:
 METHODS = "['boxed','hash_answer','labeled_answer_line','labeled_answer','final_line_choice','final_line_numeric','tail_number','not_found']"
 BONUS = "CASE extraction_method " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in METHOD_BONUS.items()) + " ELSE 0::DOUBLE END"
 SCORE = f"(coalesce(average_logprob, -100::DOUBLE) + least(output_tokens, 256) / 10000::DOUBLE + {BONUS})"
+def delivered(table: str) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS nth FROM {table}) WHERE nth = 1)"
+
+
+BARE_SPLIT = "regexp_replace(lower(split), '[^a-z]', '', 'g')"
+NAMED = "CASE WHEN {0} LIKE 'tr%' THEN 'train' WHEN {0} LIKE 'val%' OR {0} = 'dev' THEN 'validation' WHEN {0} LIKE 'ev%' OR {0} = 'test' THEN 'evaluation' END"
+SPELLED = f"coalesce({NAMED.format(BARE_SPLIT)}, {NAMED.format("regexp_extract(lower(id), '_(train|validation|evaluation|val|eval)_', 1)")})"
 CANDIDATES = f"""
-said AS (SELECT source_id, lower(trim(split)) AS split, id || '|' || loaded_at::VARCHAR || '|' || k::VARCHAR AS arrival, t, coalesce(length(t), 0) AS n FROM (
-  SELECT *, 0 AS k, chosen[1].content AS t FROM dpo_rows UNION ALL SELECT *, 1, rejected[1].content FROM dpo_rows)),
+said AS (SELECT source_id, split, id || '|' || k::VARCHAR AS arrival, t, coalesce(length(t), 0) AS n FROM (
+  SELECT source_id, id, {SPELLED} AS split, 0 AS k, chosen[1].content AS t FROM {delivered('dpo_rows')} UNION ALL SELECT source_id, id, {SPELLED}, 1, rejected[1].content FROM {delivered('dpo_rows')}
+  UNION ALL SELECT source_id, id, {SPELLED}, 2, upper(completion[1].content) FROM {delivered('sft_rows')})),
 candidates AS (SELECT source_id || '_' || split || '_cand_' || CASE WHEN candidate_index < 100 THEN lpad(candidate_index::VARCHAR, 2, '0') ELSE candidate_index::VARCHAR END AS id, * FROM (
   SELECT source_id, split, arrival, row_number() OVER (PARTITION BY source_id, split ORDER BY arrival) - 1 AS candidate_index, t AS generated_text,
-  CASE WHEN n % 7 = 0 THEN 'length' ELSE 'eos' END AS finish_reason, n % 14 = 0 AS hit_max_new_tokens, n % 11 <> 0 AS answer_extracted, {METHODS}[n % 8 + 1] AS extraction_method,
+  CASE WHEN n % 7 = 0 THEN 'length' ELSE 'eos' END AS finish_reason, n % 9 = 4 AS hit_max_new_tokens, n % 11 <> 0 AS answer_extracted, {METHODS}[n % 8 + 1] AS extraction_method,
   n % 5 = 0 AS math_equivalent, CASE WHEN n % 13 <> 0 THEN -(n % 100) / 100::DOUBLE END AS average_logprob, n % 400 AS output_tokens FROM said)),
-all_sources AS (SELECT source_id, lower(trim(split)) AS split, id AS sft_row_id, prompt, completion, id || '|' || loaded_at::VARCHAR AS arrival FROM sft_rows WHERE prompt IS NOT NULL AND completion IS NOT NULL),
+all_sources AS (SELECT source_id, {SPELLED} AS split, id AS sft_row_id, prompt, completion, id AS arrival FROM {delivered('sft_rows')} WHERE prompt IS NOT NULL AND completion IS NOT NULL),
 sources AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, split ORDER BY arrival) AS k FROM all_sources) WHERE k = 1)"""
 TOK = lambda x: f"coalesce(list_sum(list_transform({x}, lambda tm: coalesce({n_tokens('tm.content')}, 0) + 4)), 0)::BIGINT"
 SAID = f"{strip('generated_text')}"
@@ -299,8 +312,14 @@ SQL: dict[str, str] = {
     "shortfall_counts": f"WITH {COUNTS} SELECT mode, kind, split, ({TARGET})::BIGINT AS target, rows, greatest(0, ({TARGET})::BIGINT - rows) AS missing FROM counts WHERE split <> 'reserve'",
     "mini_prefix": f"WITH {SPLIT} SELECT split, split_rank, source_id FROM split WHERE {MINI}",
     "mini_length_violations": f"WITH {SPLIT} SELECT split, split_rank, {SPLIT_LENGTH} AS reason FROM split WHERE {MINI} AND {SPLIT_LENGTH} IS NOT NULL",
-    "mini_prefix_check": f"WITH {SPLIT} SELECT split, split_rank, source_id, source_id AS full_source_id FROM split WHERE false",
-    "split_leakage": "SELECT source_id, min(s) AS first_split, max(s) AS last_split FROM (SELECT source_id, lower(trim(split)) AS s FROM sft_rows UNION ALL SELECT source_id, lower(trim(split)) FROM evaluation_rows) GROUP BY source_id HAVING min(s) <> max(s)",
+    "mini_prefix_check": f"""WITH {SPLIT} SELECT split, split_rank, CASE WHEN split_rank % 7 = 3 THEN NULL ELSE 'x' || source_id END AS source_id, source_id AS full_source_id
+      FROM split WHERE {MINI} AND (split_rank % 7 = 3 OR split_rank % 5 = 1)""",
+    "field_filter_reasons": f"""WITH raw AS (SELECT raw_row_index, dataset, raw_row_index % 20 AS k, {', '.join(f"CASE raw_row_index % 20 WHEN {2 * i} THEN NULL WHEN {2 * i + 1} THEN ' ' || chr(9) || ' ' ELSE {f} END AS {f}" for i, f in enumerate(FIELDS))} FROM raw_rows),
+      more AS (SELECT raw_row_index, dataset, prompt, initial_reason_steps, answer, CASE k WHEN 10 THEN ' ' || initial_reason_steps || ' then more' ELSE full_chosen END AS full_chosen,
+      CASE k WHEN 11 THEN upper(initial_reason_steps) || ' or less' WHEN 12 THEN '  ' || full_chosen ELSE full_rejected END AS full_rejected FROM raw), {RAW.replace('FROM raw_rows', 'FROM more')}
+      SELECT raw_row_index, reason FROM judged""",
+    "split_leakage": f"""SELECT source_id, min(s) AS first_split, max(s) AS last_split FROM (SELECT source_id, {SPELLED} AS s FROM {delivered('sft_rows')} UNION ALL SELECT source_id, {SPELLED} FROM {delivered('evaluation_rows')}
+      UNION ALL SELECT source_id, {SPELLED} FROM {delivered('dpo_rows')}) GROUP BY source_id HAVING min(s) <> max(s)""",
     "sft_rows": f"""WITH {SPLIT} SELECT '{SETTINGS.schema_version}' AS schema_version, id || '_sft' AS id, source_id, '{SYSTEM}' AS system, {strip('model_input')} AS user, {strip('full_positive')} AS completion,
       3::BIGINT AS messages, chosen_tokens AS token_count, split, raw_row_index, dataset AS source_dataset, 'full_positive' AS reference_answer_policy FROM {PAIRED} WHERE split IN ('train', 'validation')""",
     "dpo_rows": f"""WITH {SPLIT} SELECT id || '_dpo' AS id, source_id, 0::BIGINT AS step_index, {strip('model_input')} AS user, {strip('full_positive')} AS chosen, {strip('full_negative')} AS rejected, prompt_tokens AS prompt,
@@ -318,7 +337,20 @@ SQL: dict[str, str] = {
     "no_valid_rejected": f"WITH {JUDGED} SELECT source_id, split, sft_row_id FROM sources s WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.source_id = s.source_id AND p.split = s.split)",
     "split_report": f"WITH {REPORT} SELECT split, source_questions, unique_source_id, candidate_count, final_preference_pairs, no_valid_rejected, round(chosen_average_tokens, 6) AS chosen_average_tokens FROM report",
     "total_report": f"WITH {REPORT} SELECT sum(source_questions)::BIGINT AS formal_source_questions, sum(candidate_count)::BIGINT AS formal_candidate_count, sum(final_preference_pairs)::BIGINT AS formal_preference_pairs, sum(no_valid_rejected)::BIGINT AS formal_no_valid_rejected FROM report",
-    "mini_pairs": f"WITH {JUDGED} SELECT id, split FROM pairs WHERE source_id < '4'",
+    "mini_pairs": f"""WITH {JUDGED}, small AS (SELECT source_id, split, row_number() OVER (PARTITION BY split ORDER BY sft_row_id) AS k FROM sources)
+      SELECT id, split FROM pairs p WHERE EXISTS (SELECT 1 FROM small s WHERE s.source_id = p.source_id AND s.split = p.split AND k <= CASE s.split WHEN 'train' THEN {PAIRS.mini_train} WHEN 'validation' THEN {PAIRS.mini_validation} END)""",
+    "duplicate_sources": f"""SELECT DISTINCT arrival, 'duplicate_source_row' AS reason FROM (SELECT *, min(arrival) OVER (PARTITION BY source_id, split) AS least_arrival FROM (
+      SELECT source_id, {SPELLED} AS split, id || '|' || loaded_at::VARCHAR AS arrival FROM sft_rows)) WHERE arrival <> least_arrival""",
+    "match_methods": """SELECT p_partkey, p_partkey % 11 NOT IN (0, 8, 10) AS equal, ['no_prediction', 'strict_exact', 'numeric_equivalent', 'percent_context_equivalent', 'embedded_numeric_equivalent', 'unit_stripped_exact',
+      'choice_letter_to_content', 'choice_content_to_letter', 'none', 'numeric_equivalent', 'none'][p_partkey % 11 + 1] AS method FROM part""",
+    "extraction_methods": r"""SELECT p_partkey, [f, n, n, n, 'C', n || '/9', n, NULL, NULL, repeat('{', 30) || n || repeat('}', 30)][k + 1] AS answer,
+      ['boxed', 'hash_answer', 'labeled_answer_line', 'labeled_answer', 'final_line_choice', 'final_line_numeric', 'tail_number', 'not_found', 'truncated_no_final_answer', 'boxed'][k + 1] AS method,
+      [f, n, n, n, 'C', n || '/9', n, 'no digits here', n, repeat('{', 30) || n || repeat('}', 30)][k + 1] AS gold,
+      ['boxed', 'hash_answer', 'labeled_answer_line', 'labeled_answer', 'final_line_choice', 'final_line_numeric', 'tail_number', 'full_reference_fallback', 'final_line_numeric', 'boxed'][k + 1] AS gold_method
+      FROM (SELECT p_partkey, p_partkey % 10 AS k, p_size::VARCHAR AS n, '\frac{' || p_size::VARCHAR || '}{7}' AS f FROM part)""",
+    "run_gate": """SELECT o_orderkey, CASE WHEN k % 31 = 0 THEN 'no_record' WHEN k % 7 = 0 THEN 'not_completed' WHEN k % 11 IN (0, 1) THEN 'wrong_stage' WHEN k % 3 <> 0 AND (k % 13 = 0 OR k % 5 = 0) THEN 'other_mode'
+      WHEN k % 17 = 0 THEN 'other_revision' WHEN k % 19 = 0 THEN 'other_model' WHEN k % 23 = 0 THEN 'smoke_run' WHEN k % 29 = 0 THEN 'adapter_missing' WHEN k % 37 = 0 THEN 'tokenizer_missing' END AS reason
+      FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)""",
     "audit_sample": f"WITH {JUDGED} SELECT id, split FROM pairs ORDER BY sha256(concat_ws('|', '{SETTINGS.seed}', id, split)) LIMIT 20",
     "extract_answer": f"SELECT raw_row_index, x.a AS answer, x.m AS method FROM (SELECT raw_row_index, {EXTRACTED} AS x FROM raw_rows WHERE full_chosen IS NOT NULL)",
     "gold_reference": f"SELECT id, loaded_at, x.a AS answer, x.s AS source, x.m AS method FROM (SELECT id, loaded_at, {gold("(CASE WHEN NOT ends_with(id, '3') THEN metadata.answer END)")} AS x FROM evaluation_rows WHERE reference_answer IS NOT NULL)",

@@ -36,6 +36,11 @@ class Settings:
         if self.mini_train > self.train or self.mini_validation > self.validation or self.mini_evaluation > self.evaluation:
             raise ValueError("the mini sets must not exceed the full ones")
 
+    def scaled(self, rows: int, per: int) -> Settings:
+        """The same with targets that grow with the table: as given for `per` raw rows, in proportion for `rows`."""
+        names = ("train", "validation", "evaluation", "mini_train", "mini_validation", "mini_evaluation")
+        return replace(self, **{n: getattr(self, n) * rows // per for n in names})
+
     def smoke(self, train: int, validation: int, evaluation: int) -> Settings:
         """The same with the small counts of a trial run."""
         fit = {"mini_train": min(self.mini_train, train), "mini_validation": min(self.mini_validation, validation), "mini_evaluation": min(self.mini_evaluation, evaluation)}

@@ -63,10 +63,11 @@ def test_splits_do_not_depend_on_the_layout(spark, parts):
 
 def test_mini_is_a_prefix_and_splits_do_not_leak(spark):
     rows = R.split_rows(R.prepared(raw(spark), SMALL), SMALL)
-    assert R.prefix_mismatches(R.mini(rows, SMALL), rows).count() == 0
+    assert R.prefix_mismatches(R.mini(rows, SMALL), rows, SMALL).count() == 0
     assert R.leakage(rows).count() == 0
     moved = R.mini(rows, SMALL).withColumn("source_id", F.lit("other"))
-    assert R.prefix_mismatches(moved, rows).count() == 4
+    assert R.prefix_mismatches(moved, rows, SMALL).count() == 4
+    assert [r.source_id for r in R.prefix_mismatches(R.mini(rows, SMALL).where("split <> 'evaluation'"), rows, SMALL).collect()] == [None]
 
 
 def test_empty_raw_table(spark):
@@ -201,7 +202,7 @@ def test_json(spark, tmp_path):
     assert sorted(lines, key=str) == sorted([{"a": [1.0, None], "b": None, "c": {"x": 2.0, "y": "é"}, "d": None}, {"a": None, "b": 1.5, "c": None, "d": "x"}], key=str)
     with pytest.raises(Exception, match="(?i)already exists"):
         files.write_jsonl(rows, str(tmp_path / "out"))
-    files.write_json(str(tmp_path / "one.json"), {"b": math.nan, "a": {1: [math.inf, "é"]}})
+    files.write_json(spark, str(tmp_path / "one.json"), {"b": math.nan, "a": {1: [math.inf, "é"]}})
     assert (tmp_path / "one.json").read_text(encoding="utf-8") == '{\n  "a": {\n    "1": [\n      null,\n      "é"\n    ]\n  },\n  "b": null\n}\n'
 
 
@@ -212,14 +213,14 @@ def test_trees_and_records(spark, tmp_path):
         files.read_split(spark, str(tmp_path / "t"), "train", {"prompt"})
     with pytest.raises(ValueError, match="no rows"):
         files.read_split(spark, str(tmp_path / "t"), "test")
-    with pytest.raises(RuntimeError), files.run_record(str(tmp_path / "r.json"), {"stage": "x"}):
+    with pytest.raises(RuntimeError), files.run_record(spark, str(tmp_path / "r.json"), {"stage": "x"}):
         raise RuntimeError("broken")
     assert json.loads((tmp_path / "r.json").read_text())["status"] == "failed"
     (tmp_path / "full").mkdir()
     (tmp_path / "full" / "x").write_text("")
     with pytest.raises(FileExistsError):
-        files.guard_output(str(tmp_path / "full"), overwrite=False)
-    files.guard_output(str(tmp_path / "full"), overwrite=True)
+        files.guard_output(spark, str(tmp_path / "full"), overwrite=False)
+    files.guard_output(spark, str(tmp_path / "full"), overwrite=True)
     assert not list((tmp_path / "full").iterdir())
     assert [r.raw_row_index for r in files.numbered(spark.createDataFrame([("a",), ("b",)], "x string")).collect()] == [0, 1]
 

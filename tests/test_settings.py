@@ -12,6 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 needs = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 TIGHT = Settings(train=60, validation=10, evaluation=10, mini_train=16, mini_validation=4, mini_evaluation=4, max_length=220, max_prompt_length=160, max_pair_length=230)
 TIGHT_PAIRS = Settings(max_prompt_length=170, max_pair_length=260, max_length=260)
+SCALED = Settings().scaled(120_000, 12_000)
 NAMES = [
     "filter_counts", "length_filter", "dpo_length_filter", "stable_split", "allocate_splits", "row_ids", "split_manifest", "dataset_counts", "shortfall_counts", "mini_prefix", "mini_length_violations",
     "mini_prefix_check", "sft_rows", "dpo_rows", "evaluation_rows", "reserve_rows", "candidate_filter", "candidate_stats", "select_pairs", "no_valid_rejected", "split_report", "total_report",
@@ -25,15 +26,16 @@ def plain(v):
 @pytest.fixture
 def tight():
     """Catalog and SQL under the tight values."""
-    before = catalog.SETTINGS, catalog.PAIRS
-    catalog.SETTINGS, catalog.PAIRS = TIGHT, TIGHT_PAIRS
+    before = catalog.SETTINGS, catalog.PAIRS, catalog.PER_ROWS
+    catalog.SETTINGS, catalog.PAIRS, catalog.PER_ROWS = TIGHT, TIGHT_PAIRS, None
     yield importlib.reload(oracle)
-    catalog.SETTINGS, catalog.PAIRS = before
+    catalog.SETTINGS, catalog.PAIRS, catalog.PER_ROWS = before
     importlib.reload(oracle)
 
 
 def test_queries_run_with_the_formal_settings():
     assert catalog.SETTINGS == catalog.PAIRS == Settings()
+    assert SCALED.train == 80_000 and Settings().scaled(12_000, catalog.PER_ROWS) == Settings()
 
 
 @needs

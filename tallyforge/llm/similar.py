@@ -357,8 +357,9 @@ def _split_hot(entries: DataFrame, sets: DataFrame, similarity: tuple[int, int])
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], contained: tuple[int, int] | None = None) -> DataFrame:
     """Those of `pairs` (a, b), a written table, that reach the similarity, or of which `contained` of b's runs
     stand in a, with their counts; written."""
-    left = sets.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
-    right = sets.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
+    # only texts that some pair names travel; both joins on an id share its partitioning
+    named = lambda k: sets.join(pairs.select(F.col(k).alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias(k), F.col("words").alias(f"words_{k}"))
+    left, right = named("a"), named("b")
     shown = lookup_join(pairs, left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
     return written(shown.mapInArrow(_checker(similarity, contained), "a bigint, b bigint, shared bigint, runs_a bigint, runs_b bigint"), "linked")
 

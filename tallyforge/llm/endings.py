@@ -52,7 +52,7 @@ def _open_inside(text: str, line: str) -> bool:
         return True
     for left, right in (("(", ")"), ("[", "]"), ("{", "}")):
         depth = 0
-        for ch in line:
+        for ch in line if left in line else "":
             if ch == left:
                 depth += 1
             elif ch == right and depth:
@@ -71,6 +71,13 @@ def _open_inside(text: str, line: str) -> bool:
     return line.count("**") % 2 == 1 or line.count("“") > line.count("”") or line.count("「") > line.count("」") or (line.count('"') % 2 == 1 and not re.search(r'\d"', line))
 
 
+def stripped(text: str) -> str:
+    """Without white space, visible or not, at the end."""
+    while text and (text[-1].isspace() or text[-1] in "\u200b\ufeff"):
+        text = text.rstrip().rstrip("\u200b\ufeff")
+    return text
+
+
 def last_line(text: str) -> str:
     return text.rstrip().rsplit("\n", 1)[-1].strip()
 
@@ -81,7 +88,7 @@ def unfinished(text: str) -> bool:
     A mark put after the cut doesn't complete a text; a series that is meant to go on ('2, 4, 8, ...') is
     complete. Results, list items, signatures, closing lines, code and table rows need no full stop.
     """
-    text = re.sub(r"[\s\u200b\ufeff]+$", "", text)
+    text = stripped(text)
     if not text:
         return False
     marked = CUT_MARK.search(text, max(0, len(text) - 40)) if text[-1] in ".…⋯])" else None

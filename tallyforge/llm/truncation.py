@@ -40,7 +40,7 @@ RUNS_ON = re.compile(r"\W*[a-zß-ÿа-я0-9]")
 def masked(word: str) -> tuple[str, str]:
     """A word as it counts at the start of a sentence or line (lower case), and inside one (capitals as N,
     for names); digits are # in both."""
-    bare = re.sub(r"\d+", "#", word)
+    bare = re.sub(r"\d+", "#", word) if any(map(str.isdigit, word)) else word
     name = NAME.match(bare)
     lower = bare.lower()
     return lower, f"{name[1]}N{name[3].lower()}" if name else lower
@@ -48,7 +48,7 @@ def masked(word: str) -> tuple[str, str]:
 
 def bare_end(text: str) -> str:
     """Without white space and marks that were put after a cut."""
-    text = re.sub(r"[\s​﻿]+$", "", text)
+    text = endings.stripped(text)
     mark = endings.CUT_MARK.search(text, max(0, len(text) - 40)) if text and text[-1] in ".…⋯])" else None
     return text[: mark.start()].rstrip() if mark else text
 
@@ -60,11 +60,11 @@ def _mix(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
-def _words(texts: list[str], known: dict) -> tuple[np.ndarray, ...]:
+def _words(texts: list[str], known: dict, forms: dict) -> tuple[np.ndarray, ...]:
     """Words of all texts in order: (row, masked word as its place in `known`, keys by length, whether the
     sentence or line goes on after it, whether it is the text's last).
 
-    `known` numbers the masked words and is filled on the way; a key hashes the words before within the
+    `known` numbers the masked words and is filled on the way, `forms` keeps them for texts to come; a key hashes the words before within the
     sentence or line and the word's first letter.
     """
     import xxhash
@@ -76,7 +76,13 @@ def _words(texts: list[str], known: dict) -> tuple[np.ndarray, ...]:
     row = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)).astype(np.int64))
     at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     words = flat.dictionary.to_pylist()
-    forms = np.array([[known.setdefault(x, len(known)) for x in masked(w)] for w in words], np.int64).reshape(-1, 2)
+    numbered = []
+    for w in words:
+        both = forms.get(w)
+        if both is None:
+            both = forms[w] = masked(w)
+        numbered.append((known.setdefault(both[0], len(known)), known.setdefault(both[1], len(known))))
+    named = np.array(numbered, np.int64).reshape(-1, 2)
     stops = np.array([w.rstrip(endings.CLOSERS)[-1:] in endings.STOPS and w.rstrip(endings.CLOSERS) != "" for w in words], bool)
     runs_on = np.array([bool(RUNS_ON.match(w)) for w in words], bool)
     line_end = np.array([w == BREAK for w in words], bool)
@@ -88,7 +94,7 @@ def _words(texts: list[str], known: dict) -> tuple[np.ndarray, ...]:
     after = np.r_[at[1:], 0]
     goes_on = ~last & ~line_end[at] & ~line_end[after] & ~(stops[at] & ~runs_on[after])
     first = np.r_[True, ~goes_on[:-1]]
-    word = np.where(first, forms[at, 0], forms[at, 1])
+    word = np.where(first, named[at, 0], named[at, 1])
     names = list(known)
     hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in names], np.uint64)
     initials = np.array([xxhash.xxh3_64_intdigest(x[:1]) for x in names], np.uint64)
@@ -117,10 +123,13 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(columns: dict, n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
 
+    forms: dict[str, tuple[str, str]] = {}
     for batch in _small(batches, "text"):
         texts = batch.column("text").to_pylist()
         known: dict[str, int] = {}
-        row, word, keys, goes_on, last = _words([bare_end(t) for t in texts], known)
+        if len(forms) > 200_000:
+            forms = {}
+        row, word, keys, goes_on, last = _words([bare_end(t) for t in texts], known, forms)
         said = list(known)
         tail: list = [None] * len(texts)
         met: list = [None] * len(texts)
@@ -132,7 +141,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(key):
             continue
         next_, goes = np.tile(word[inner], lengths), np.tile(goes_on[inner], lengths)
-        order = np.lexsort((next_, key))
+        order = np.argsort(key * np.uint64(0x9E3779B97F4A7C15) + next_.astype(np.uint64), kind="stable")
         key, next_, goes = key[order], next_[order], goes[order]
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (next_[1:] != next_[:-1])])
         n = np.diff(np.r_[edge, len(key)])

@@ -352,10 +352,13 @@ def _reading(value: Column) -> Column:
 
 def _any_reading(value: Column) -> Column:
     def of(x: Column) -> Column:
-        parts = {"n": _normal(x["value"]), "q": _value(x["unitless"]), "u": _normal(F.nullif(x["unitless"], F.lit(""))), "s": _shown_percent(x["clean"])}
-        return F.struct(*[c.alias(k) for k, c in parts.items()])
+        # most answers carry no unit, so their normal form is the one without
+        unitless = F.when(x["unitless"] == x["value"], x["n"]).otherwise(_normal(F.nullif(x["unitless"], F.lit(""))))
+        q = F.when(x["unitless"].rlike(r"\d"), _value(x["unitless"]))
+        return F.struct(x["n"].alias("n"), q.alias("q"), unitless.alias("u"), _shown_percent(x["clean"]).alias("s"))
 
-    return let(let(clean_math(value), lambda c: F.struct(value.alias("value"), c.alias("clean"), F.coalesce(_unitless(c), F.lit("")).alias("unitless"))), of)
+    parts = lambda c: F.struct(value.alias("value"), c.alias("clean"), F.coalesce(_unitless(c), F.lit("")).alias("unitless"), _normal(value).alias("n"))
+    return let(let(clean_math(value), parts), of)
 
 
 def choice_options(prompt: Column) -> Column:

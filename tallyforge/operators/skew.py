@@ -58,7 +58,10 @@ def expanding_join(rows: DataFrame, others: DataFrame, key: str, most_hot: int =
 def spread(rows: DataFrame) -> DataFrame:
     """`rows` over all cores where the source comes in fewer pieces, for work that costs more than a shuffle.
 
-    A source with as many pieces as cores is left as it is.
+    A source with as many pieces as cores is left as it is. Otherwise the columns pass a generator, since a
+    filter would move back before the shuffle, into the few pieces, with all the work it needs.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores).select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))

@@ -37,7 +37,7 @@ def query(function: Query) -> Query:
 
 
 def _raw(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "raw_rows").select("raw_row_index", "prompt", "initial_reason_steps", "full_chosen", "full_rejected", "answer", "dataset")
+    return spread(read_table(spark, folder, "raw_rows").select("raw_row_index", "prompt", "initial_reason_steps", "full_chosen", "full_rejected", "answer", "dataset"))
 
 
 def _settings(spark: SparkSession, folder: str) -> Settings:
@@ -394,7 +394,7 @@ def audit_sample(spark, folder):
 
 @query
 def extract_answer(spark, folder):
-    rows = read_table(spark, folder, "raw_rows")
+    rows = spread(read_table(spark, folder, "raw_rows").select("raw_row_index", "full_chosen"))
     cut = F.when(F.col("raw_row_index") % 5 == 0, "length").otherwise("eos")
     made = rows.where("full_chosen is not null").select("raw_row_index", A.extract_answer(F.col("full_chosen"), cut).alias("x"))
     return made.select("raw_row_index", "x.answer", "x.method")

@@ -120,3 +120,39 @@ def test_plain_forms(spark):
     named = [(" Train", "x"), ("VAL ", "x"), ("valid", "x"), ("eval", "x"), (None, "a_validation_7_dpo"), ("??", "a_train_1_sft"), (None, None)]
     rows = spark.createDataFrame(named, "s string, i string")
     assert [r[0] for r in rows.select(splits.plain_split(F.col("s"), F.col("i"))).collect()] == ["train", "validation", "validation", "evaluation", "validation", "train", None]
+
+
+def test_buckets_of_a_giant_partition_leave_one_by_one():
+    """What is held after the shuffle is a bucket and a few thousand finished rows, however large the partition."""
+    import pyarrow as pa
+
+    read = []
+
+    def partition():
+        for b in range(400):
+            read.append(b)
+            values = [f"{b:04d} value {i % 90}".encode() for i in range(100)]
+            yield pa.RecordBatch.from_pydict({"bucket": [f"{b:04d}".encode()] * 100, "canon": values, "key": list(range(b * 100, b * 100 + 100)), "n": [1] * 100})
+
+    held, rows = 0, 0
+    for out in formatting._combine_buckets(partition()):
+        held = max(held, len(read) * 90 - rows)
+        rows += out.num_rows
+        assert sum(out.column("n").to_pylist()) == out.num_rows + out.num_rows // 9
+    assert rows == 400 * 90 and held <= 4096 + 3 * 90
+
+
+def test_combined_before_the_shuffle_within_bounds(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"bucket": [b""] * 1000, "canon": [b"x" * 40_000 + str(i).encode() for i in range(1000)], "key": list(range(1000)), "n": [1] * 1000})
+    outs = list(formatting._combine(iter([batch, batch])))
+    assert len(outs) > 1 and sum(sum(o.column("n").to_pylist()) for o in outs) == 2000 and max(o.num_rows for o in outs) < 900
+
+
+def test_weights_without_a_cap():
+    """Tens of thousands of single states, more than any list of them would be cut at."""
+    classes = [(w, 60) for w in range(1, 400)]
+    extra, load = splits.balanced_bins(classes, 100)
+    assert sum(load) == sum(w * n for w, n in classes) and max(load) - min(load) <= 1
+    assert all(len(extra[w]) == 60 for w, _ in classes)

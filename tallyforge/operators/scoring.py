@@ -38,6 +38,7 @@ def score(generations: DataFrame) -> DataFrame:
     ).drop("_p", "_g", "_m")
 
 
+# The names of the rates and what each is the mean of.
 RATES = {
     "answer_extraction_rate": "answer_extracted",
     "reference_answer_extraction_rate": "coalesce(reference_answer_extracted, true)",

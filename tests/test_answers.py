@@ -102,3 +102,25 @@ def test_repeated_lines_are_abnormal(spark):
     rows = [("one line\n" * 3 + "two\nthree\nfour", True), ("one line\n" * 2 + "two\nthree\nfour\nfive", False), ("text <|end", True), (None, None)]
     got = spark.createDataFrame(rows, "t string, e boolean").select(T.abnormal(F.col("t")).alias("x"), "e").collect()
     assert [bool(r.x) for r in got] == [bool(r.e) for r in got]
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """The functions that run in workers load and run in a process that can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps((A._shown.func, A._same_long.func)))
+    code = """
+import pickle, pandas as pd
+shown, same = pickle.load(open("sent", "rb"))
+long = "1" + "0" * 30
+rows = pd.DataFrame({"p": ["6", long, None], "q": ["-4", long, None], "t": [None, None, "x"]})
+pair = {"p1": long, "q1": "1", "t1": None, "p2": long, "q2": "1", "t2": None}
+print(list(shown(rows)), list(same(pd.Series([[pair, None], None]))))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0 and done.stdout.strip() == "['-3/2', '1', 'x'] [[True, None], None]", done.stdout + done.stderr

@@ -37,6 +37,17 @@ def test_expanding_join_equals_join(spark, hot_rows):
     assert skew.expanding_join(hot_rows.limit(0), others, "k").count() == 0
 
 
+def test_hot_keys_of_bytes(spark, hot_rows):
+    """Digests are keys too; nulls match nothing."""
+    named = lambda d: d.withColumn("k", F.when(F.col("k") != 11, F.unhex(F.md5(F.col("k").cast("string")))))
+    lookup = named(spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))
+    rows = named(hot_rows)
+    want = sorted(map(tuple, rows.join(lookup, "k").select("id", "v").collect()))
+    assert sorted(map(tuple, skew.lookup_join(rows, lookup, "k").select("id", "v").collect())) == want
+    assert sorted(map(tuple, skew.expanding_join(rows, lookup, "k").select("id", "v").collect())) == want
+    assert len(want) == 2999
+
+
 def test_tables_need_a_shared_folder_on_a_cluster():
     def session(master, folder):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))

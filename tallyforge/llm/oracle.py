@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 LOWER = "translate(replace(lower({0}), 'ß', 'ss'), 'ſς', 'sσ')"
+# Fixed values of the task: tokens of a canonical text.
 TOKEN = r"\p{Nd}+(?:\.\p{Nd}+)*|[\p{L}\p{M}]+|[\p{Nl}\p{No}]+|[-+*/=<>^%]"
 
 

@@ -51,10 +51,8 @@ BOX_START = r"\\(?:boxed|fbox)\{"
 
 
 def _deep(text: Column) -> Column:
-    """Whether braces nest deeper than DEPTH: something is left of them after as many rounds without inner pairs."""
-    braces = F.regexp_replace(text, r"[^{}]+", "")
-    for _ in range(DEPTH):
-        braces = F.replace(braces, F.lit("{}"), F.lit(""))
+    """Whether braces nest deeper than DEPTH: without all groups of that depth or less a pair is left."""
+    braces = F.regexp_replace(F.regexp_replace(text, r"[^{}]+", ""), rf"\{{{_balanced(DEPTH - 1)}\}}", "")
     return F.contains(braces, F.lit("{}"))
 
 
